@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from strataflow.llm.chat import OP10_SQL, op10_chat_formatting
 from strataflow.llm.mixing import op9_mix_sources
+from strataflow.llm.quality_rules import OP6_SQL, op6_quality_rules
 from strataflow.llm.token_counts import op7_token_counts
+from strataflow.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op3_warc": op3_warc,
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op9_mix_sources": op9_mix_sources,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_warc": OP3_SQL,
+    "op6_quality_rules": OP6_SQL,
+    "op10_chat_formatting": OP10_SQL,
+}
