@@ -79,3 +79,20 @@ def word_count(text="text"):
     """Number of words as a column (null and empty texts: 0)."""
     t = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.size(F.filter(F.split(t, SEPARATORS), lambda w: w != "")), F.lit(0)).cast("long")
+
+
+def text_slices(batch, column: str = "text", chars: int = 2_000_000):
+    """Cuts an Arrow batch into (first row, texts) of about ``chars`` bytes of text, one row at least."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0).to_pylist()
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > chars:
+            yield first, texts.slice(first, i - first).to_pylist()
+            first, held = i, 0
+        held += size
+    if len(sizes) > first:
+        yield first, texts.slice(first).to_pylist()

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from strataflow.llm.chat import OP10_SQL, op10_chat_formatting
+from strataflow.llm.language import op8_language_id
 from strataflow.llm.mixing import op9_mix_sources
 from strataflow.llm.quality_rules import OP6_SQL, op6_quality_rules
 from strataflow.llm.token_counts import op7_token_counts
+from strataflow.llm.toxicity import op1_toxicity
 from strataflow.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_warc": op3_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
     "op9_mix_sources": op9_mix_sources,
     "op10_chat_formatting": op10_chat_formatting,
 }
