@@ -1,20 +1,65 @@
-"""From raw documents to a training mix, stage by stage."""
+"""From raw documents to a training mix, stage by stage.
+
+Each stage takes all that its predecessor kept; all but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from strataflow.llm.mixing import mix_sources
+from strataflow.llm import decontamination, jaccard_join, language, mixing, substring_dedup
+from strataflow.llm.common import stored, table
+
+#: Documents whose best language has a lower mean posterior are rejected, as are those without a letter.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark, docs, sf_dir):
+    """Rejects documents of no certain language; ``lang`` becomes the predicted one."""
+    found = language.identify(docs, language.fit(docs), tuple(docs.columns))
+    kept = found.filter(f"lang_pred <> '{language.UNKNOWN}' AND score >= {LEAST_LANGUAGE_SCORE}")
+    return kept.drop("lang", "score").withColumnRenamed("lang_pred", "lang").select(docs.columns)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """One document of each group of near copies stays."""
+    return jaccard_join.one_of_each_group(docs)
+
+
+def drop_repeated_spans(spark, docs, sf_dir):
+    """Repeated passages leave the texts; documents of which nothing is left go."""
+    from pyspark.sql import functions as F
+
+    cleaned = substring_dedup.remove_repeated_spans(docs)
+    cleaned = cleaned.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_sentences")))
+    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def drop_benchmark_leaks(spark, docs, sf_dir):
+    """Documents that contain a test item go."""
+    return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark, docs, sf_dir):
-    return mix_sources(docs)[0]
+    """Words that the training mix takes of each document."""
+    return mixing.mix_sources(docs)[0]
+
 
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", drop_repeated_spans),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("mixing sources to target weights", mix),
+]
 
-STAGES = [("mixing sources to target weights", mix)]
+#: SQL expresses neither the language model nor the draws of the mix.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"pipeline-{k}")
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strataflow.llm.chat import OP10_SQL, op10_chat_formatting
 from strataflow.llm.decontamination import OP5_SQL, op5_decontamination
+from strataflow.llm.jaccard_join import op2_jaccard_join
 from strataflow.llm.language import op8_language_id
 from strataflow.llm.mixing import op9_mix_sources
 from strataflow.llm.quality_rules import OP6_SQL, op6_quality_rules
@@ -14,6 +15,7 @@ from strataflow.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
