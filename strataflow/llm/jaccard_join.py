@@ -163,7 +163,7 @@ def _near(a, b, tried: int | None, percent: int, same: bool):
     i, j = np.nonzero(ok)
     if same:
         i, j = i[i < j], j[i < j]
-    apart = np.bitwise_count(sign_a[i] ^ sign_b[j]).sum(1).astype(np.int64) if len(i) else np.zeros(0, np.int64)
+    apart = np.bitwise_count((sign_a[i] ^ sign_b[j]).view(np.uint64)).sum(1).astype(np.int64) if len(i) else np.zeros(0, np.int64)
     total, need = total[i, j], need[i, j]
     fine = apart <= total - 2 * need
     i, j, far = i[fine], j[fine], apart[fine] / total[fine]
