@@ -18,6 +18,7 @@ import base64
 import hashlib
 import re
 import zlib
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Records in a file; one file is read in one piece.
 RECORDS_PER_FILE = 1000
+#: Repeated payloads (about 70 bytes each) that are sent to all tasks; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 DATE = "2024-01-01T00:00:00Z"
 FIELDS = "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 SCHEMA = f"{FIELDS}, gap_start long, gap_end long, gap_reason string"
@@ -48,9 +51,11 @@ def revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """Adds payload, payload_digest, payload_bytes and refers_to (null: a response)."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumns({"_sha1": F.sha1(F.col("payload").cast("binary")), "payload_bytes": F.octet_length("payload").cast("long")})
-    newest = p.filter(F.col("payload_bytes") >= at_least).groupBy("_sha1").agg(F.max("page_id").alias("_newest"))
-    p = p.join(newest, "_sha1", "left")
-    refers = F.when((F.col("payload_bytes") >= at_least) & ~F.col("page_id").eqNullSafe(F.col("_newest")), F.col("_newest"))
+    # only payloads that occur again need their newest page; payloads themselves aren't shuffled while these are few
+    again = p.filter(F.col("payload_bytes") >= at_least).groupBy("_sha1").agg(F.max("page_id").alias("_newest"), F.count("*").alias("n")).filter("n > 1").select("_sha1", "_newest")
+    again = stored(again, "warc-repeated")
+    p = p.join(F.broadcast(again) if again.count() <= MOST_BROADCAST else again, "_sha1", "left")
+    refers = F.when(F.col("_newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_newest")), F.col("_newest"))
     return p.select("page_id", "url", "payload", "payload_bytes", base32(F.col("_sha1")).alias("payload_digest"), refers.alias("refers_to"))
 
 
@@ -136,23 +141,25 @@ def salvage(data: bytes):
         at = end
 
 
-def _salvaged(batches):
+def _salvaged(batches, payloads: bool):
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.string()] * 4 + [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
     for batch in batches:
         for content in batch.column("content"):
             rows = [(*x, None, None, None) if kind == "record" else (*[None] * 6, *x) for kind, x in salvage(content.as_py())]
+            if not payloads:
+                rows = [(*r[:5], None, *r[6:]) for r in rows]
             columns = list(zip(*rows)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def read_archives(spark, path: str) -> DataFrame:
-    """Records and gaps of all files under ``path`` (gaps: gap_reason is set)."""
+def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
+    """Records and gaps of all files under ``path`` (gaps: gap_reason is set); without ``payloads`` these are checked only."""
     files = spark.read.format("binaryFile").load(path).filter(~F.col("path").rlike("/[_.][^/]*$")).select("content")
     held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # a row is a file
     try:
-        return stored(files.mapInArrow(_salvaged, SCHEMA), "warc-records")
+        return stored(files.mapInArrow(partial(_salvaged, payloads=payloads), SCHEMA), "warc-records")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
 
@@ -161,7 +168,7 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType.simpleString()
     write_archives(pages, path := new_path(spark, "warc"))
-    read = read_archives(spark, path).filter(F.col("gap_reason").isNull())
+    read = read_archives(spark, path, payloads=False).filter(F.col("gap_reason").isNull())
     number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
     return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
