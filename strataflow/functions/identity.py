@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _LOWER_ONLY = ("npm", "deb", "apk", "gem", "cargo", "nuget", "rpm")
 
 
-@F.pandas_udf(T.StringType())
-def _ascii_json(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else json.dumps(v))
+_SHORT = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+
+
+def _escaped(ch):
+    """One character outside printable ASCII as JSON escapes it, by UTF-16 units."""
+    code = F.ascii(ch)
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    low = code - 0x10000
+    out = F.when(code > 0xFFFF, F.concat(unit(F.shiftright(low, 10) + 0xD800), unit(low.bitwiseAND(F.lit(0x3FF)) + 0xDC00))).otherwise(unit(code))
+    for n, letter in _SHORT.items():
+        out = F.when(code == n, F.lit("\\" + letter)).otherwise(out)
+    return F.when((code >= 32) & (code <= 126), ch).otherwise(out)
 
 
 def json_string(c):
-    """A string as canonical JSON; only text outside printable ASCII needs Python's escapes."""
+    """A string as canonical JSON with ASCII escapes."""
     c = F.col(c) if isinstance(c, str) else c
-    plain = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return F.when(c.rlike(r"^[ -~]*$"), plain).otherwise(_ascii_json(c))
+    safe = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    other = F.array_join(F.transform(F.regexp_extract_all(safe, F.lit("(?s)."), F.lit(0)), _escaped), "")
+    return F.concat(F.lit('"'), F.when(c.rlike(r"^[ -~]*$"), safe).otherwise(other), F.lit('"'))
 
 
 def canonical_list(*columns):
