@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +97,66 @@ def text_slices(batch, column: str = "text", chars: int = 2_000_000):
         held += size
     if len(sizes) > first:
         yield first, texts.slice(first).to_pylist()
+
+
+def array_slices(batch, column: str = "text", size: int = 1_000_000):
+    """Cuts an Arrow batch into (first row, large binary array without nulls) of about ``size`` bytes, one row at least."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "").cast(pa.large_binary())
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, side="right")))
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.frombuffer(LOWER_AZ, np.uint8).astype(np.uint64) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of an odd base modulo 2^64, and their inverses."""
+    if len(_powers[0]) <= n:
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_BASE, _INVERSE)):
+                _powers[k] = np.cumprod(np.r_[np.uint64(1), np.full(n + n // 8, base, np.uint64)])
+    return _powers[0], _powers[1]
+
+
+class ByteWords:
+    """The words of an array of texts, found and hashed in their bytes without a Python object for each.
+
+    ``start`` and ``end`` are places in ``data``, ``first`` the number of each
+    text's first word (and the end), ``hash`` 64-bit hashes of words with A-Z in
+    lower case.
+    """
+
+    def __init__(self, texts):
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        raw = texts.buffers()[2]
+        self.data = data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+        self.offsets = offsets - offsets[0]
+        word = ~_IS_SPACE[data]
+        edge = np.zeros(len(data) + 1, bool)  # a text begins here
+        edge[self.offsets] = True
+        before = np.r_[False, word[:-1]] & ~edge[:-1] if len(data) else word
+        after = np.r_[word[1:], False] & ~edge[1:] if len(data) else word
+        self.start, self.end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+        self.first = np.searchsorted(self.start, self.offsets)
+        power, inverse = powers(len(data))
+        with np.errstate(over="ignore"):
+            sums = np.r_[np.uint64(0), np.cumsum(_LOWER[data] * power[: len(data)])]
+            h = (sums[self.end] - sums[self.start]) * inverse[self.start]
+            h += (self.end - self.start).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xC4CEB9FE1A85EC53)
+            h ^= h >> np.uint64(29)
+        self.hash = h

@@ -10,157 +10,134 @@ occurrence covers are removed.
 The first document is the one with the smallest doc_id, in it the first place.
 Rows that repeat a doc_id count as one document; rows without one stay as they
 are and claim no span.  Null and empty texts, and texts of fewer words than a
-span, stay as they are.  Case and the kind of white space don't matter.
+span, stay as they are.  The case of A-Z and the kind of white space don't matter.
 """
 
 from __future__ import annotations
 
-import re
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import table, text_slices
+from strataflow.llm.common import ByteWords, array_slices, powers, stored, table
 
 SENTENCES = 3
 WORDS = 20
 LONG = 24
-#: Words known to a task; beyond it starts anew.
-MEMO = 300_000
-
-_TOKEN = re.compile(r"[^ \t\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]*")
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-class Spans:
-    """Sentence limits and span hashes of texts."""
-
-    def __init__(self, sentences: int = SENTENCES, words: int = WORDS):
-        self.sentences, self.words = sentences, words
-        self.known: dict[str, int] = {}
-        self.hashes = np.zeros(0, np.uint64)
-        self.ends = np.zeros(0, bool)
-        self.powers = np.ones(1, np.uint64)
-        self.inverses = np.ones(1, np.uint64)
-
-    def ids(self, tokens: list[str]) -> np.ndarray:
-        known = self.known
-        new = list(dict.fromkeys(t for t in tokens if t not in known))
-        if len(known) + len(new) > MEMO:
-            known.clear()
-            self.hashes, self.ends, new = self.hashes[:0], self.ends[:0], list(dict.fromkeys(tokens))
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            bare = [t.rstrip(" \t\n\r\x0b\x0c") for t in new]
-            self.hashes = np.concatenate([self.hashes, np.array([xxhash.xxh3_64_intdigest(b.lower().encode("utf-8", "replace")) for b in bare], np.uint64)])
-            self.ends = np.concatenate([self.ends, np.array([b[-1] in ".!?…" or "\n" in t for b, t in zip(bare, new)], bool)])
-        return np.array([known[t] for t in tokens], np.int64)
-
-    def grow(self, n: int) -> None:
-        if len(self.powers) <= n:
-            size = 2 * n + 1024
-            with np.errstate(over="ignore"):
-                self.powers = np.cumprod(np.r_[np.uint64(1), np.full(size, _BASE, np.uint64)])
-                self.inverses = np.cumprod(np.r_[np.uint64(1), np.full(size, _INVERSE, np.uint64)])
-
-    def of(self, text: str | None):
-        """(tokens, first word of each sentence and the end, first sentence of each span, its end, hash, second hash)."""
-        tokens = _TOKEN.findall(text) if text else []
-        n = len(tokens)
-        if n < self.words:
+
+_ENDS = np.zeros(256, bool)
+_ENDS[[ord(c) for c in ".!?"]] = True
+
+
+class Sentences:
+    """Sentence limits and span hashes of an array of texts."""
+
+    def __init__(self, texts, sentences: int, words: int):
+        self.words, self.sentences, self.least = ByteWords(texts), sentences, words
+        w = self.words
+        lines = np.r_[0, np.cumsum(w.data == 10)]
+        gap = np.r_[w.start[1:], len(w.data)] if len(w.start) else w.start
+        self.ends = (_ENDS[w.data[w.end - 1]] | (lines[gap] > lines[w.end])) if len(w.start) else np.zeros(0, bool)
+
+    def of(self, i: int):
+        """(first word of each sentence and the end, first sentence of each span, its end, hash, second hash)."""
+        a, b = self.words.first[i], self.words.first[i + 1]
+        n = int(b - a)
+        if n < self.least:
             none = np.zeros(0, np.int64)
-            return tokens, np.array([0, n]), none, none, none, none
-        ids = self.ids(tokens)
-        h, end = self.hashes[ids], self.ends[ids].copy()
+            return np.array([0, n]) if n else np.array([0]), none, none, none, none
+        h, end = self.words.hash[a:b], self.ends[a:b].copy()
         end[-1] = True
         limits = np.r_[0, np.flatnonzero(end) + 1]
         # long sentences are cut after words chosen by their hash
         long = np.repeat(np.diff(limits) > LONG, np.diff(limits))
-        limits = np.r_[0, np.flatnonzero(end | (long & (h % np.uint64(8) == 0))) + 1]
+        if long.any():
+            limits = np.r_[0, np.flatnonzero(end | (long & (h % np.uint64(8) == 0))) + 1]
         first = np.arange(len(limits) - 1)
-        last = np.maximum(first + self.sentences, np.searchsorted(limits, limits[:-1] + self.words))
+        last = np.maximum(first + self.sentences, np.searchsorted(limits, limits[:-1] + self.least))
         inside = last < len(limits)
         first, last = first[inside], last[inside]
-        self.grow(n)
+        power, inverse = powers(n)
         with np.errstate(over="ignore"):
-            sums = np.r_[np.uint64(0), np.cumsum(h * self.powers[:n])]
-            twos = np.r_[np.uint64(0), np.cumsum((h >> np.uint64(17) ^ h << np.uint64(31)) * self.powers[:n])]
-            a, b = limits[first], limits[last]
-            one = (sums[b] - sums[a]) * self.inverses[a]
-            two = (twos[b] - twos[a]) * self.inverses[a]
-            one ^= (b - a).astype(np.uint64)
-        return tokens, limits, first, last, one.view(np.int64), (two >> np.uint64(32)).astype(np.int64)
-
-
-def _span_rows(batches, spans: tuple[int, int]):
-    made = Spans(*spans)
+            sums = np.r_[np.uint64(0), np.cumsum(h * power[:n])]
+            twos = np.r_[np.uint64(0), np.cumsum((h >> np.uint64(17) ^ h << np.uint64(31)) * power[:n])]
+            x, y = limits[first], limits[last]
+            one = ((sums[y] - sums[x]) * inverse[x]) ^ (y - x).astype(np.uint64)
+            two = (twos[y] - twos[x]) * inverse[x]
+        return limits, first, last, one.view(np.int64), (two >> np.uint64(32)).astype(np.int64)
+
+    def kept(self, i: int, limits: np.ndarray, gone: np.ndarray) -> str:
+        """The text without the sentences ``gone``; white space before the first word goes with them."""
+        at = np.r_[self.words.start[self.words.first[i] : self.words.first[i + 1]], self.words.offsets[i + 1]][limits]
+        keep = np.r_[False, ~gone, False]
+        a, b = np.flatnonzero(keep[1:] & ~keep[:-1]), np.flatnonzero(keep[:-1] & ~keep[1:])
+        return b"".join(self.words.data[at[x] : at[y]].tobytes() for x, y in zip(a, b)).decode("utf-8", "replace")
+
+
+def _span_rows(batches, sentences: int, words: int):
     for batch in batches:
         ids = batch.column("doc_id")
-        for at, texts in text_slices(batch):
+        for at, texts in array_slices(batch):
+            made = Sentences(texts, sentences, words)
             h1, h2, row = [], [], []
-            for i, text in enumerate(texts):
-                *_, one, two = made.of(text)
+            for i in range(len(texts)):
+                *_, one, two = made.of(i)
                 one, where = np.unique(one, return_index=True)
                 h1.append(one)
                 h2.append(two[where])
                 row.append(np.full(len(one), at + i))
-            if h1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2)), ids.take(pa.array(np.concatenate(row)))], ["h1", "h2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2)), ids.take(pa.array(np.concatenate(row)))], ["h1", "h2", "doc_id"])
 
 
 def span_rows(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """h1, h2, doc_id: each span of a document once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(partial(_span_rows, spans=(sentences, words)), f"h1 long, h2 long, doc_id {kind}")
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(partial(_span_rows, sentences=sentences, words=words), f"h1 long, h2 long, doc_id {kind}")
 
 
-def _cleaned(batches, spans: tuple[int, int]):
-    made = Spans(*spans)
-    names = None
+def _cleaned(batches, sentences: int, words: int):
     for batch in batches:
-        names = [n for n in batch.schema.names if n not in ("text", "_repeated")]
-        lists = batch.column("_repeated")
-        known = batch.column("_known").to_pylist()
-        texts_out, n_sentences, n_removed, words_removed = [], [], [], []
-        for at, texts in text_slices(batch):
-            for i, text in enumerate(texts):
-                tokens, limits, first, last, one, two = made.of(text)
+        rest = [n for n in batch.schema.names if n not in ("text", "_repeated", "_known")]
+        lists, known, texts = batch.column("_repeated"), batch.column("_known").to_pylist(), batch.column("text")
+        changed, n_sentences, n_removed, words_removed = {}, [], [], []
+        for at, part in array_slices(batch):
+            made = Sentences(part, sentences, words)
+            for i in range(len(part)):
+                limits, first, last, one, _ = made.of(i)
                 gone = np.zeros(len(limits) - 1, bool)
                 if len(one) and known[at + i]:
                     again = np.ones(len(one), bool)
                     again[np.unique(one, return_index=True)[1]] = False
                     if lists[at + i].is_valid:
                         again |= np.isin(one, lists[at + i].values.to_numpy())
-                    for a, b in zip(first[again], last[again]):
-                        gone[a:b] = True
-                cut = int(gone.sum())
-                if cut:
-                    keep = np.repeat(~gone, np.diff(limits)).tolist()
-                    # white space before the first word goes with the first sentence
-                    text = "".join(t for t, k in zip(tokens, keep) if k)
-                texts_out.append(text)
-                n_sentences.append(len(gone) if tokens else 0)
-                n_removed.append(cut)
+                    if again.any():
+                        marks = np.zeros(len(limits), np.int64)
+                        np.add.at(marks, first[again], 1)
+                        np.add.at(marks, last[again], -1)
+                        gone = np.cumsum(marks)[:-1] > 0
+                        changed[at + i] = made.kept(i, limits, gone)
+                n_sentences.append(len(gone))
+                n_removed.append(int(gone.sum()))
                 words_removed.append(int(np.diff(limits)[gone].sum()))
-        columns = [batch.column(n) for n in names if n != "_known"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts_out, pa.string()), *(pa.array(x, pa.int64()) for x in (n_sentences, n_removed, words_removed))], [*(n for n in names if n != "_known"), "text", "n_sentences", "n_removed", "words_removed"])
+        if changed:
+            texts = pa.array([changed.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string())
+        columns = [batch.column(n) for n in rest]
+        yield pa.RecordBatch.from_arrays([*columns, texts, *(pa.array(x, pa.int64()) for x in (n_sentences, n_removed, words_removed))], [*rest, "text", "n_sentences", "n_removed", "words_removed"])
 
 
 def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """The documents with repeated sentences removed from ``text``, and n_sentences, n_removed, words_removed."""
-    rows = span_rows(docs, sentences, words)
+    rows = stored(span_rows(docs, sentences, words), "sentence-spans")  # read twice
     repeated = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "_first")
     later = rows.join(repeated, ["h1", "h2"]).filter(F.col("doc_id") != F.col("_first"))
     by_doc = later.groupBy("doc_id").agg(F.collect_set("h1").alias("_repeated"))
     rest = [c for c in docs.columns if c != "text"]
     out = docs.join(by_doc, "doc_id", "left").select(*rest, "text", "_repeated", F.col("doc_id").isNotNull().alias("_known"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    cleaned = out.mapInArrow(partial(_cleaned, spans=(sentences, words)), f"{kinds}, text string, n_sentences long, n_removed long, words_removed long")
+    cleaned = out.mapInArrow(partial(_cleaned, sentences=sentences, words=words), f"{kinds}, text string, n_sentences long, n_removed long, words_removed long")
     return cleaned.select(*docs.columns, "n_sentences", "n_removed", "words_removed")
 
 
