@@ -10,7 +10,7 @@
 4. Of the pairs between classes not yet connected, each class tries its nearest
    first, more of them in later rounds, and all in the last, so no link that
    would join two components is missed and no group emits all its pairs.
-5. Tried pairs are verified exactly: the sets that one class is held against
+5. Tried pairs whose longer signatures still allow it are verified exactly: the sets that one class is held against
    stand in a trie by global order; its traversal shares the overlap of common
    beginnings and leaves subtrees whose remaining length can't reach the bound.
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import LOWER_AZ, stored, table, text_slices
+from strataflow.llm.common import ByteWords, array_slices, stored, table
 from strataflow.llm.components import components
 
 WIDTH, PERCENT = 4, 85
@@ -42,50 +42,42 @@ BATCH = 10_000
 BLOCK = 1024
 #: Pairs that a class tries in each round; None: all.
 ROUNDS = (1, 8, 64, None)
-MEMO = 300_000
-_P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(64)]
-
-
-class Shingler:
-    def __init__(self, width: int):
-        self.width = width
-        self.known: dict[bytes, int] = {}
-        self.hashes = np.zeros(0, np.uint64)
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Sorted distinct shingle hashes."""
-        ws = text.encode("utf-8", "replace").translate(LOWER_AZ).split() if text else []
-        if not ws:
-            return np.zeros(0, np.uint64)
-        if len(ws) < self.width:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(ws), seed=len(ws))], np.uint64)
-        known = self.known
-        try:
-            ids = [known[w] for w in ws]
-        except KeyError:
-            new = list({w for w in ws if w not in known})
-            if len(known) + len(new) > MEMO:
-                known.clear()
-                self.hashes, new = self.hashes[:0], list(set(ws))
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.hashes = np.concatenate([self.hashes, np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)])
-            ids = [known[w] for w in ws]
-        h = self.hashes[np.array(ids)]
-        n = len(ws) - self.width + 1
-        with np.errstate(over="ignore"):
-            s = h[:n].copy()
-            for k in range(1, self.width):
-                s = s * _P[1] + h[k : n + k]
-            s ^= s >> np.uint64(32)
-            s *= _P[3]
-            s ^= s >> np.uint64(29)
-        return np.unique(s)
+#: Classes (24 bytes each) that are sent to all tasks to find their texts; more are joined by a shuffle.
+MOST_BROADCAST = 300_000
+_P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(8)]
+
+
+def shingle_sets(texts, width: int):
+    """Sorted distinct shingle hashes of each text of a large binary array."""
+    w = ByteWords(texts)
+    h, first = w.hash, w.first
+    n = max(0, len(h) - width + 1)
+    with np.errstate(over="ignore"):
+        s = h[:n].copy()
+        for k in range(1, width):
+            s = s * _P[1] + h[k : n + k]
+        s ^= s >> np.uint64(32)
+        s *= _P[3]
+        s ^= s >> np.uint64(29)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            if b - a >= width:
+                yield np.unique(s[a : b - width + 1])
+            elif b > a:
+                whole = np.uint64(b - a)
+                for x in h[a:b]:
+                    whole = (whole ^ x) * _P[2] + x
+                yield np.array([whole])
+            else:
+                yield np.zeros(0, np.uint64)
+
+
+def sets_of(batch, width: int):
+    return [s for _, texts in array_slices(batch) for s in shingle_sets(texts, width)]
 
 
 def _frequent(batches, width: int):
-    made = Shingler(width)
     for batch in batches:
-        sets = [made.of(t) for _, texts in text_slices(batch) for t in texts]
+        sets = sets_of(batch, width)
         if not sets:
             continue
         shingles, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -132,13 +124,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _classes(batches, width: int, percent: int, frequent):
-    made = Shingler(width)
     for batch in batches:
         ids = batch.column("doc_id")
-        for at, texts in text_slices(batch):
+        for at, texts in array_slices(batch):
             n, node, signs, prefix, hot = [], [], [], [], []
-            for text in texts:
-                s = made.of(text)
+            for s in shingle_sets(texts, width):
                 n.append(len(s))
                 if not len(s):
                     for x in (node, signs, prefix, hot):
@@ -259,18 +249,38 @@ def _verified(batches, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(found_u, pa.int64()), pa.array(found_v, pa.int64())], ["u", "v"])
 
 
+def long_signature(shingles: np.ndarray) -> bytes:
+    """Parity bits as many as a power of two that isn't below the set's size; halves folded by XOR give the shorter ones."""
+    size = max(512, 1 << (len(shingles) - 1).bit_length())
+    bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _possible(batches, percent: int):
+    """Pairs whose long signatures allow the threshold."""
+    for batch in batches:
+        keep = []
+        for n, m, a, b in zip(*(batch.column(c).to_pylist() for c in ("n_u", "n_v", "bits_u", "bits_v"))):
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            short = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
+            need = (percent * (n + m) + 99 + percent) // (100 + percent)
+            keep.append(int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * need)
+        yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep, pa.bool_())), batch.column("v").filter(pa.array(keep, pa.bool_()))], ["u", "v"])
+
+
 def _sets(batches, width: int, frequent):
-    made = Shingler(width)
     for batch in batches:
         wanted = batch.column("node").to_pylist()
-        for at, texts in text_slices(batch):
-            nodes, sets = [], []
-            for k, text in enumerate(texts):
-                s = made.of(text)
+        for at, texts in array_slices(batch):
+            nodes, sizes, bits, sets = [], [], [], []
+            for k, s in enumerate(shingle_sets(texts, width)):
                 if len(s) and set_id(s) == wanted[at + k]:
                     nodes.append(wanted[at + k])
+                    sizes.append(len(s))
+                    bits.append(long_signature(s))
                     sets.append(ordered(s, frequent)[0][::-1].view(np.int64))  # frequent first: common beginnings
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "bits", "elements"])
 
 
 def prefix_postings(scan: DataFrame) -> DataFrame:
@@ -314,8 +324,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             # a class with any candidate tries one in the first round, so these are all that ever need their sets
             active = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
             one = scan.join(active, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-            sets = stored(texts.join(one, "doc_id").select("node", "text").mapInArrow(partial(_sets, width=width, frequent=frequent), "node long, elements array<long>").dropDuplicates(["node"]), "jaccard-sets")
+            one = stored(one, "jaccard-active")
+            few = F.broadcast(one) if one.count() <= MOST_BROADCAST else one
+            # rows that repeat a doc_id may give a set twice, which only repeats its links
+            sets = stored(texts.join(few, "doc_id").select("node", "text").mapInArrow(partial(_sets, width=width, frequent=frequent), "node long, n long, bits binary, elements array<long>"), "jaccard-sets")
         fresh = near.select("u", "v") if tried is None else near.select("u", "v").join(tried, ["u", "v"], "left_anti")
+        short = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+        fresh = stored(fresh.join(short("v"), "v").join(short("u"), "u").select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(partial(_possible, percent=percent), "u long, v long").distinct(), "jaccard-possible")
         pairs = fresh.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("right")), "v").join(sets.select(F.col("node").alias("u"), F.col("elements").alias("left")), "u")
         new = stored(pairs.sortWithinPartitions("u", "v").select("u", "v", "left", "right").mapInArrow(partial(_verified, percent=percent), "u long, v long"), "jaccard-links")
         links = new if links is None else links.unionByName(new)
