@@ -81,11 +81,15 @@ def record_turns(records: DataFrame, conv_id: str = "conv_id", json: str = "json
     """JSON records of any known layout to rows conv_id, turn, role, text, layout; unknown layouts give one row without role and text."""
     r = records.select(F.col(conv_id).alias("conv_id"), F.col(json).alias("_json")).withColumn("_print", F.sha2(F.coalesce(json_shape(F.col("_json")), F.lit("")), 256))
     turns, layout = F.lit(None).cast("array<struct<role:string,text:string>>"), F.lit("unknown")
+
+    def renamed(role, text):
+        return lambda m: F.struct(m[role].alias("role"), m[text].alias("text"))
+
     for name, (paths, how) in LAYOUTS.items():
         if isinstance(how, tuple):
             where, role, text = how
             parsed = F.from_json("_json", f"`{where}` array<struct<`{role}`: string, `{text}`: string>>")[where]
-            made = F.transform(parsed, lambda m, role=role, text=text: F.struct(m[role].alias("role"), m[text].alias("text")))
+            made = F.transform(parsed, renamed(role, text))
         else:
             parsed = F.from_json("_json", ", ".join(f"`{p}` string" for _, p in how))
             made = F.filter(F.array(*[F.struct(F.lit(role).alias("role"), parsed[p].alias("text")) for role, p in how]), lambda m: (m["role"] == TRAINED_ROLE) | (F.coalesce(m["text"], F.lit("")) != ""))

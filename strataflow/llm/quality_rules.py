@@ -39,6 +39,7 @@ _CAPITALS = bytes(range(65, 91))
 
 
 def mask(rules) -> int:
+    rules = set(rules)
     return sum(1 << i for i, name in enumerate(RULES) if name in rules)
 
 

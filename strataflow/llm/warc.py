@@ -82,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, at_least: int = 0) -> None:
     records(pages, at_least).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-_NEXT = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
+_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
 def _record(data: bytes, at: int):
@@ -116,7 +116,7 @@ def _record(data: bytes, at: int):
 
 def salvage(data: bytes):
     """Yields ("record", fields) and ("gap", (start, end, reason)); bytes of ``data`` are all accounted for."""
-    at = 0
+    at, lost, reason = 0, None, ""
     while at < len(data):
         try:
             if data[at : at + 3] == b"\x1f\x8b\x08":
@@ -134,11 +134,17 @@ def salvage(data: bytes):
         except (ValueError, zlib.error) as e:
             found = _NEXT.search(data, at + 1)
             end = found.start() if found else len(data)
-            yield "gap", (at, end, str(e)[:80])
+            if lost is None:
+                lost, reason = at, str(e)[:80]
         else:
+            if lost is not None:
+                yield "gap", (lost, at, reason)
+                lost = None
             for fields in got:
                 yield "record", fields
         at = end
+    if lost is not None:
+        yield "gap", (lost, len(data), reason)
 
 
 def _salvaged(batches, payloads: bool):
