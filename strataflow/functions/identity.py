@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 _LOWER_ONLY = ("npm", "deb", "apk", "gem", "cargo", "nuget", "rpm")
 
 
+def let(value, body):
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 _SHORT = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
 
 
@@ -23,10 +28,12 @@ def _escaped(ch):
 
 def json_string(c):
     """A string as canonical JSON with ASCII escapes."""
-    c = F.col(c) if isinstance(c, str) else c
-    safe = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    other = F.array_join(F.transform(F.regexp_extract_all(safe, F.lit("(?s)."), F.lit(0)), _escaped), "")
-    return F.concat(F.lit('"'), F.when(c.rlike(r"^[ -~]*$"), safe).otherwise(other), F.lit('"'))
+    def quoted(x):
+        safe = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        other = F.array_join(F.transform(F.regexp_extract_all(safe, F.lit("(?s)."), F.lit(0)), _escaped), "")
+        return F.concat(F.lit('"'), F.when(x.rlike(r"^[ -~]*$"), safe).otherwise(other), F.lit('"'))
+
+    return let(F.col(c) if isinstance(c, str) else c, quoted)
 
 
 def canonical_list(*columns):
@@ -76,18 +83,23 @@ def purl(name, version, ecosystem, namespace=None):
 
 def canonical_purl(p):
     """Without qualifiers and subpath, type and namespace in lower case, name normalised; NULL if not a purl."""
-    body = F.substring_index(F.substring_index(p, "#", 1), "?", 1)
-    rest = F.substring(body, F.lit(5), F.length(body))
-    kind = F.lower(F.substring_index(rest, "/", 1))
-    path = F.when(F.instr(rest, "/") > 0, F.substring(rest, F.instr(rest, "/") + 1, F.length(rest))).otherwise(F.lit(""))
-    has_version = F.instr(path, "@") > 0
-    version = F.when(has_version, F.substring_index(path, "@", -1)).otherwise(F.lit(""))
-    names = F.when(has_version, F.substring(path, F.lit(1), F.length(path) - F.length(version) - 1)).otherwise(path)
-    parts = F.transform(F.split(names, "/"), _unquoted)
-    name = _quoted(normalize_name(F.element_at(parts, -1), kind))
-    spaces = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.lower)
-    out = F.concat(F.lit("pkg:"), kind, F.lit("/"), F.concat_ws("/", spaces, name), F.when(version != "", F.concat(F.lit("@"), _unquoted(version))).otherwise(F.lit("")))
-    return F.when(p.startswith("pkg:"), out)
+    def split(x):
+        bare = F.substring_index(F.substring_index(x, "#", 1), "?", 1)
+        return F.struct(F.lower(F.regexp_extract(bare, "^pkg:([^/]*)", 1)).alias("kind"), F.regexp_extract(bare, "^pkg:[^/]*/(.*)$", 1).alias("path"), x.startswith("pkg:").alias("fine"))
+
+    def versioned(x):
+        has = F.instr(x["path"], "@") > 0
+        version = F.when(has, F.substring_index(x["path"], "@", -1)).otherwise(F.lit(""))
+        names = F.when(has, F.regexp_extract(x["path"], "^(.*)@[^@]*$", 1)).otherwise(x["path"])
+        return F.struct(x["kind"].alias("kind"), F.transform(F.split(names, "/"), _unquoted).alias("parts"), version.alias("version"), x["fine"].alias("fine"))
+
+    def build(x):
+        name = _quoted(normalize_name(F.element_at(x["parts"], -1), x["kind"]))
+        spaces = F.transform(F.slice(x["parts"], F.lit(1), F.size(x["parts"]) - 1), F.lower)
+        version = F.when(x["version"] != "", F.concat(F.lit("@"), _unquoted(x["version"]))).otherwise(F.lit(""))
+        return F.when(x["fine"], F.concat(F.lit("pkg:"), x["kind"], F.lit("/"), F.concat_ws("/", spaces, name), version))
+
+    return let(let(let(p, split), versioned), build)
 
 
 def dependency_id(p):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataflow.functions.identity import let
+
 # Severities and verdicts in rising order, advisory labels, CVSS v3 weights.
 SEVERITIES = ("low", "medium", "high", "critical")
 VERDICTS = ("pass", "warn", "block")
@@ -40,11 +42,6 @@ def score_severity(score):
     return F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").otherwise("low")
 
 
-def let(value, body):
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def cvss3_base(vector):
     """Base score of a CVSS v3 vector; NULL if it can't be read."""
     table = {k: F.create_map(*[F.lit(x) for kv in t.items() for x in kv]) for k, t in WEIGHTS.items()}

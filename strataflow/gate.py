@@ -22,7 +22,7 @@ class GateResult:
 
 
 def run_gate(envelopes: DataFrame, trusted: dict[str, bytes], popular: DataFrame | None = None, denied: DataFrame | None = None, static_report: DataFrame | None = None, rules=None) -> GateResult:
-    """Verify, build the graph, enrich and decide; all tables of the result are lazy."""
+    """Verify, build the graph, enrich and decide; the decision is lazy."""
     run = collect_events(verify(envelopes, trusted))
     deps = run.nodes.filter("kind = 'dependency'")
     found = run.findings
@@ -38,7 +38,7 @@ def run_gate(envelopes: DataFrame, trusted: dict[str, bytes], popular: DataFrame
     seen = enrich.runtime_reachability(found.filter("source <> 'risk'"), run.edges, modules, run.runtime)
     if static_report is not None:
         seen = enrich.merge_static(seen, static_report)
-    run = replace(run, findings=seen.unionByName(found.filter("source = 'risk'")))
+    run = replace(run, findings=traverse.checkpointed(seen.unionByName(found.filter("source = 'risk'"))))
     return GateResult(run, policy.decide(policy.reasons(run, rules)))
 
 

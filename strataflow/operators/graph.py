@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strataflow.functions.identity import canonical_list, canonical_purl, digest, json_string, normalize_name, purl
 from strataflow.functions.severity import severity
+from strataflow.operators.traverse import checkpointed
 
 #: Order of stages, and those that a complete run needs.
 STAGES = ("commit", "sast", "build", "scan", "deploy", "runtime")
@@ -41,7 +42,7 @@ ATTRIBUTES = {
 
 @dataclass
 class Collected:
-    """Lazy results of one run."""
+    """Tables of one run; nodes, edges and findings stand in the checkpoint folder."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -112,6 +113,7 @@ def collect_events(verified: DataFrame) -> Collected:
     e = verified.withColumn("base", (order.cast("long") * (1 << 32) + F.col("env_idx")) * (1 << 20))
     unknown = F.when(~F.col("stage").isin(*STAGES), F.concat(F.lit("unknown stage "), F.col("stage")))
     e = e.withColumn("reject_reason", F.coalesce("reject_reason", unknown))
+    e = checkpointed(e)  # every branch reads it, and none plans the checks of signatures again
     ok = e.filter("reject_reason IS NULL")
     rejected = [e.filter("reject_reason IS NOT NULL").select("env_idx", "reject_reason")]
     parts, node, edge, finding = {}, [], [], []
@@ -179,11 +181,11 @@ def collect_events(verified: DataFrame) -> Collected:
     none = F.array().cast("array<string>")
     finding.append(s.select(F.concat(F.lit("sast-"), F.col("run_id"), F.lit("-"), F.col("env_idx").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("id"), fid.alias("node_id"), F.lit("sast").alias("source"), severity(F.col("f.severity")).alias("severity"), F.concat(F.col("f.rule"), F.lit(": "), F.col("f.title")).alias("title"), F.lit(None).cast("string").alias("cve"), none.alias("evidence"), "seq"))
 
-    nodes = merge_nodes(_union(node))
+    nodes = checkpointed(merge_nodes(_union(node)))  # scans match against it
     # scans
     v = parts["scan"].select(F.coalesce("tool", F.lit("trivy")).alias("tool"), "seq", F.posexplode("Results").alias("r", "x"))
     v = v.select("tool", (F.col("seq") + F.col("r") * (1 << 10)).alias("seq"), F.posexplode("x.Vulnerabilities").alias("k", "v")).select("tool", (F.col("seq") + F.col("k")).alias("seq"), "v.*")
-    v = match_packages(v, nodes.filter("kind = 'dependency'"))
+    v = checkpointed(match_packages(v, nodes.filter("kind = 'dependency'")))
     sev = severity(F.coalesce("Severity", F.lit("medium")))
     title = F.coalesce("Title", "VulnerabilityID")
     fixed = F.when(F.coalesce("FixedVersion", F.lit("")) != "", F.concat(F.lit("fixed in "), F.col("FixedVersion")))
@@ -191,7 +193,7 @@ def collect_events(verified: DataFrame) -> Collected:
     hit = v.filter("dep_id IS NOT NULL")
     finding.append(hit.select(F.concat("VulnerabilityID", F.lit("@"), "dep_id").alias("id"), F.col("dep_id").alias("node_id"), F.col("tool").alias("source"), sev.alias("severity"), title.alias("title"), F.col("VulnerabilityID").alias("cve"), F.array_compact(F.array(fixed, layer)).alias("evidence"), "seq"))
     lost = v.filter("dep_id IS NULL").select(F.concat("VulnerabilityID", F.lit("@"), "PkgName", F.lit("@"), "InstalledVersion").alias("id"), F.col("VulnerabilityID").alias("cve"), F.col("PkgName").alias("package"), F.col("InstalledVersion").alias("version"), F.col("Ecosystem").alias("ecosystem"), F.col("PURL").alias("purl"), F.col("tool").alias("source"), sev.alias("severity"), title.alias("title"), "seq")
-    findings = first_per(_union(finding), "id").withColumn("reachable", F.lit(None).cast("boolean"))
+    findings = checkpointed(first_per(_union(finding), "id").withColumn("reachable", F.lit(None).cast("boolean")))
 
     # deployments of known images
     d = parts["deploy"].withColumn("image_id", _id("image", F.col("image_digest")))
@@ -203,10 +205,10 @@ def collect_events(verified: DataFrame) -> Collected:
     late = [d.select(*_node("deployment", pid, F.col("service"), service=F.col("service"))), run.select(*_node("container", tid, F.col("container"), service=F.col("service")))]
     add(d, F.col("image_id"), pid, "deployed_as")
     add(run, F.col("deployment_id"), tid, "runs")
-    nodes = nodes.unionByName(merge_nodes(_union(late)))
+    nodes = checkpointed(nodes.unionByName(merge_nodes(_union(late))))
     runtime = parts["runtime"].select(tid.alias("container_id"), F.explode_outer("loaded_modules").alias("m")).groupBy("container_id").agg(F.collect_set(F.lower("m")).alias("modules"))
     seen = ok.select("stage").distinct()
-    return Collected(nodes, _union(edge).distinct(), findings, lost, _union(rejected), seen, runtime)
+    return Collected(nodes, checkpointed(_union(edge).distinct()), findings, checkpointed(lost), _union(rejected), seen, runtime)
 
 
 def unknown_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
