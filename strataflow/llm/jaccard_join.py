@@ -42,6 +42,8 @@ BATCH = 10_000
 BLOCK = 1024
 #: Pairs that a class tries in each round; None: all.
 ROUNDS = (1, 8, 64, None)
+#: Elements after which a new trie begins (a node takes some hundred bytes), and pairs in an Arrow batch.
+TRIE_ELEMENTS, PAIRS_PER_BATCH = 200_000, 500
 #: Classes (24 bytes each) that are sent to all tasks to find their texts; more are joined by a shuffle.
 MOST_BROADCAST = 300_000
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(8)]
@@ -238,8 +240,9 @@ def _verified(batches, percent: int):
         found_u, found_v = [], []
         i = 0
         while i < len(u):
-            j = i
-            while j < len(u) and u[j] == u[i] and j - i < 256:
+            j, held = i + 1, len(right[i].values)
+            while j < len(u) and u[j] == u[i] and held < TRIE_ELEMENTS:
+                held += len(right[j].values)
                 j += 1
             trie = Trie((v[k], right[k].values.to_pylist()) for k in range(i, j))
             near = list(trie.similar(set(left[i].values.to_pylist()), percent))
@@ -332,7 +335,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         short = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
         fresh = stored(fresh.join(short("v"), "v").join(short("u"), "u").select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(partial(_possible, percent=percent), "u long, v long").distinct(), "jaccard-possible")
         pairs = fresh.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("right")), "v").join(sets.select(F.col("node").alias("u"), F.col("elements").alias("left")), "u")
+        held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PAIRS_PER_BATCH)  # a row has two sets
         new = stored(pairs.sortWithinPartitions("u", "v").select("u", "v", "left", "right").mapInArrow(partial(_verified, percent=percent), "u long, v long"), "jaccard-links")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
         links = new if links is None else links.unionByName(new)
         tried = near.select("u", "v") if tried is None else tried.unionByName(near.select("u", "v"))
         found = components(links)
