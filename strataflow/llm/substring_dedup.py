@@ -1,11 +1,14 @@
 """Operator 4: substring deduplication by sliding spans of sentences.
 
-Sentences end at . ! ? or a line break; those of over ``LONG`` words are cut
-further after words chosen by their hash, so that passages put into the middle
-of other sentences are cut alike.  From every sentence a span runs over at
-least ``SENTENCES`` of them and ``WORDS`` words.  All spans are hashed and joined
-globally; the first document of a span keeps it, and sentences that any other
-occurrence covers are removed.
+Sentences end at . ! ? or a line break, and are cut further after the words of
+the lowest hash in any ``WINDOW`` words without such an end; that includes short
+ones.  A cut is thus decided by the fewer than ``WINDOW`` words on each side and
+the next is at most ``WINDOW`` words away, so equal passages are cut alike but
+for their edges, whatever surrounds them.  From every piece a span runs over at
+least ``SENTENCES`` of them and ``WORDS`` words; with 3, 20 and a window of 8, any
+equal 51 words have a span in common.  All spans are hashed and joined globally;
+the first document of a span keeps it, and pieces that any other occurrence
+covers are removed.
 
 The first document is the one with the smallest doc_id, in it the first place.
 Rows that repeat a doc_id count as one document; rows without one stay as they
@@ -19,19 +22,37 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import ByteWords, array_slices, powers, stored, table
+from strataflow.llm.common import ByteWords, array_slices, powers, table
 
 SENTENCES = 3
 WORDS = 20
-LONG = 24
+WINDOW = 8
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
 
+def _over(x: np.ndarray, f) -> np.ndarray:
+    """``f`` over each ``WINDOW`` neighbours, by doubling."""
+    k = 1
+    while k < WINDOW:
+        step = min(k, WINDOW - k)
+        x = f(x[:-step], x[step:])
+        k += step
+    return x
+
+
+def lowest_in_a_window(key: np.ndarray) -> np.ndarray:
+    """Whether a key is the lowest of any ``WINDOW`` neighbours; all of them where keys are equal."""
+    if len(key) < WINDOW:
+        return np.zeros(len(key), bool)
+    edge = np.zeros(WINDOW - 1, key.dtype)
+    return _over(np.r_[edge, _over(key, np.minimum), edge], np.maximum) == key
+
+
 class Sentences:
     """Sentence limits and span hashes of an array of texts."""
 
@@ -51,11 +72,9 @@ class Sentences:
             return np.array([0, n]) if n else np.array([0]), none, none, none, none
         h, end = self.words.hash[a:b], self.ends[a:b].copy()
         end[-1] = True
-        limits = np.r_[0, np.flatnonzero(end) + 1]
-        # long sentences are cut after words chosen by their hash
-        long = np.repeat(np.diff(limits) > LONG, np.diff(limits))
-        if long.any():
-            limits = np.r_[0, np.flatnonzero(end | (long & (h % np.uint64(8) == 0))) + 1]
+        # the end of the text is no end of a sentence: it would tell a passage at the end from others
+        key = np.where(self.ends[a:b], np.uint64(0), (h >> np.uint64(1)) + np.uint64(1))
+        limits = np.r_[0, np.flatnonzero(end | lowest_in_a_window(key)) + 1]
         first = np.arange(len(limits) - 1)
         last = np.maximum(first + self.sentences, np.searchsorted(limits, limits[:-1] + self.least))
         inside = last < len(limits)
@@ -130,9 +149,9 @@ def _cleaned(batches, sentences: int, words: int):
 
 def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """The documents with repeated sentences removed from ``text``, and n_sentences, n_removed, words_removed."""
-    rows = stored(span_rows(docs, sentences, words), "sentence-spans")  # read twice
-    repeated = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "_first")
-    later = rows.join(repeated, ["h1", "h2"]).filter(F.col("doc_id") != F.col("_first"))
+    # one shuffle of the spans tells each its first document; nulls have gone
+    first = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
+    later = span_rows(docs, sentences, words).withColumn("_first", first).filter(F.col("doc_id") != F.col("_first"))
     by_doc = later.groupBy("doc_id").agg(F.collect_set("h1").alias("_repeated"))
     rest = [c for c in docs.columns if c != "text"]
     out = docs.join(by_doc, "doc_id", "left").select(*rest, "text", "_repeated", F.col("doc_id").isNotNull().alias("_known"))

@@ -163,6 +163,28 @@ def test_spans_against_brute_force(spark, docs):
             assert len(got[i].text.encode().split()) == len(texts[i].encode().split()) - got[i].words_removed
 
 
+def test_spans_find_passages_in_the_middle_of_sentences(spark):
+    random.seed(11)
+    word = lambda: f"w{random.randint(0, 10**7)}"
+
+    def prose(n, longest=22):
+        out = []
+        while len(out) < n:
+            out += [word() for _ in range(random.randint(8, longest))]
+            out[-1] += "."
+        return out[: n - 1] + [word()]  # ends in the middle of a sentence
+
+    rows, planted = [], 0
+    for k in range(90):
+        passage = prose(51) if k % 3 else [word() for _ in range(51)]
+        for longest in (22, 60) if k % 2 else (22, 22):
+            rows.append((planted, " ".join(prose(random.randint(25, 70), longest) + passage + prose(random.randint(25, 70)))))
+            planted += 1
+    got = {r.doc_id: r.words_removed for r in substring_dedup.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(0, planted, 2))
+    assert all(20 <= got[i] <= 51 for i in range(1, planted, 2))
+
+
 def test_warc_salvage():
     def record(n, payload, kind="response"):
         import base64
