@@ -21,8 +21,8 @@ def identify_language(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document of each group of near copies stays."""
-    return jaccard_join.one_of_each_group(docs)
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays."""
+    return jaccard_join.one_of_each_group(docs, width=5, percent=80)
 
 
 def drop_repeated_spans(spark, docs, sf_dir):

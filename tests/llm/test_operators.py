@@ -110,6 +110,26 @@ def test_jaccard_join_against_brute_force(spark):
     assert got == {i: (len(s), low[group[i]]) for i, s in enumerate(sets)}
 
 
+def test_pipeline_drops_near_copies_by_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(100)]
+
+    def changed(*places):
+        return " ".join(f"{w}x" if i in places else w for i, w in enumerate(base))
+
+    def five(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    texts = [changed(), changed(30, 70), changed(20, 50, 80), "other " + " ".join(f"v{i}" for i in range(60))]
+    near = [len(five(texts[0]) & five(t)) / len(five(texts[0]) | five(t)) for t in texts[1:]]
+    assert near[0] >= 0.8 > near[1] and not near[2]
+    assert 100 * len(shingles(texts[0]) & shingles(texts[1])) < 85 * len(shingles(texts[0]) | shingles(texts[1]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, DATA).collect()} == {0, 2, 3}
+
+
 def test_trie_prunes_but_misses_nothing():
     random.seed(3)
     sets = [sorted(random.sample(range(30), random.randint(1, 20))) for _ in range(300)]
