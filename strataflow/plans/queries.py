@@ -210,6 +210,12 @@ def closure_cyclic(p: Projection) -> DataFrame:
     return traverse.closure(c.select(F.col("c_nationkey").cast("string").alias("src"), ((F.col("c_custkey") * 7 + 3) % 25).cast("string").alias("dst")))
 
 
+@query(sql("""SELECT start, node FROM c""", extra="e AS (SELECT DISTINCT c_nationkey AS a, (c_custkey * 7 + 3) % 25 AS b FROM customer), c AS (SELECT a::VARCHAR AS start, b::VARCHAR AS node FROM e UNION SELECT c.start, e.b::VARCHAR FROM c JOIN e ON e.a::VARCHAR = c.node)", recursive=True))
+def closure_cyclic_whole(p: Projection) -> DataFrame:
+    edges = p.table("customer").select(F.col("c_nationkey").cast("string").alias("src"), ((F.col("c_custkey") * 7 + 3) % 25).cast("string").alias("dst"))
+    return traverse.closure(edges.distinct())
+
+
 def _reach(p: Projection) -> DataFrame:
     """dep_id, layer, image, service, container: one row a path; joins stay typed, without strings."""
     below = p.installed().join(p.layer_of(), "layer")
