@@ -10,6 +10,7 @@
 4. Of the pairs between classes not yet connected, each class tries its nearest
    first, more of them in later rounds, and all in the last, so no link that
    would join two components is missed and no group emits all its pairs.
+   ``jaccard_links`` has the last round only, so no link at all is missed.
 5. Tried pairs whose longer signatures still allow it are verified exactly: the sets that one class is held against
    stand in a trie by global order; its traversal shares the overlap of common
    beginnings and leaves subtrees whose remaining length can't reach the bound.
@@ -298,8 +299,8 @@ def prefix_postings(scan: DataFrame) -> DataFrame:
     return stored(met, "jaccard-postings")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds=ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row; see the module."""
+def _linked(docs: DataFrame, width: int, percent: int, rounds) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scan (doc_id, n, node), the links (u, v) that the rounds verified, and node, component; the round ``None`` alone verifies all."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -344,9 +345,33 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         found = components(links)
         if near.filter("more").isEmpty():
             break
-    comp = scan.select("doc_id", "n", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return scan.select("doc_id", "n", "node"), links, found
+
+
+def _with_component_ids(scan: DataFrame, found: DataFrame) -> DataFrame:
+    comp = scan.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = comp.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("_first"))
-    return comp.join(ids, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_first", "doc_id").alias("component_id"))
+    return comp.join(ids, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_first", "doc_id").alias("component_id"), "node")
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds=ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row; see the module."""
+    scan, _, found = _linked(docs, width, percent, rounds)
+    return _with_component_ids(scan, found).drop("node")
+
+
+def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row: ``n_links`` are the other rows whose sets reach the threshold.
+
+    All candidate pairs of classes are verified, which are as many as the square of a group's classes.
+    """
+    scan, links, found = _linked(docs, width, percent, (None,))
+    links = links.distinct()
+    rows = scan.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"))
+    both = links.union(links.select("v", "u")).toDF("node", "other")
+    others = both.join(rows.select(F.col("node").alias("other"), "rows"), "other").groupBy("node").agg(F.sum("rows").alias("others"))
+    counts = rows.join(others, "node", "left").select("node", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return _with_component_ids(scan, found).join(counts, "node", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
@@ -362,4 +387,4 @@ def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_links(table(spark, sf_dir, "documents"))

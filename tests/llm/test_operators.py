@@ -110,6 +110,23 @@ def test_jaccard_join_against_brute_force(spark):
     assert got == {i: (len(s), low[group[i]]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_links_are_all_found(spark):
+    random.seed(8)
+    base = [f"w{random.randint(0, 400)}" for _ in range(90)]
+    texts = ["", None, "A b", "a B"]
+    for k in range(60):
+        t = list(base)
+        for _ in range(k // 20):
+            t[random.randrange(len(t))] = f"x{random.randint(0, 10**6)}"
+        texts.append(" ".join(t))
+    sets = [shingles(t) for t in texts]
+    want = {i: sum(i != j and bool(a) and 100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard_join.jaccard_links(df).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert {r.doc_id: r.component_id for r in got} == {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
+
+
 def test_pipeline_drops_near_copies_by_five_words_and_80_percent(spark):
     import corpus_pipeline
 
