@@ -83,6 +83,7 @@ def write_archives(pages: DataFrame, path: str, at_least: int = 0) -> None:
 
 
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
 def _record(data: bytes, at: int):
@@ -114,34 +115,75 @@ def _record(data: bytes, at: int):
     return (head.get("warc-record-id"), kind, head.get("warc-refers-to"), digest or None, size, payload if kind != "revisit" else None), end + 4
 
 
+def _inflated(data: bytes, at: int, size: int = 1 << 16):
+    """(bytes of the gzip member at ``at``, its end, None), or all bytes before an error, None and the error."""
+    member, out = zlib.decompressobj(31), []
+    while at < len(data) and not member.eof:
+        before = member.copy()
+        try:
+            out.append(member.decompress(data[at : at + size]))
+        except zlib.error as e:
+            for k in range(at, at + size):  # the bytes before the bad one still count
+                try:
+                    out.append(before.decompress(data[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), None, str(e)[:80]
+        at = min(at + size, len(data))
+    return (b"".join(out), at - len(member.unused_data), None) if member.eof else (b"".join(out), None, "member without end")
+
+
+def _inside(plain: bytes):
+    """Records and gaps of a member's bytes, where no further member begins."""
+    at, lost, reason = 0, None, ""
+    while at < len(plain):
+        try:
+            fields, end = _record(plain, at)
+        except ValueError as e:
+            found = _VERSION.search(plain, at + 1)
+            end = found.start() if found else len(plain)
+            if lost is None:
+                lost, reason = at, str(e)[:80]
+        else:
+            if lost is not None:
+                yield "gap", (lost, at, reason)
+                lost = None
+            yield "record", fields
+        at = end
+    if lost is not None:
+        yield "gap", (lost, len(plain), reason)
+
+
 def salvage(data: bytes):
-    """Yields ("record", fields) and ("gap", (start, end, reason)); bytes of ``data`` are all accounted for."""
+    """Yields ("record", fields) and ("gap", (start, end, reason)); bytes of ``data`` are all accounted for.
+
+    A gap inside a gzip member has the member's limits and its own places in the reason.
+    """
     at, lost, reason = 0, None, ""
     while at < len(data):
+        got, error = [], None
         try:
             if data[at : at + 3] == b"\x1f\x8b\x08":
-                member = zlib.decompressobj(31)
-                plain = member.decompress(data[at:])
-                if not member.eof:
-                    raise ValueError("member without end")
-                end, inner, got = len(data) - len(member.unused_data), 0, []
-                while inner < len(plain):
-                    fields, inner = _record(plain, inner)
-                    got.append(fields)
+                plain, end, error = _inflated(data, at)
+                got = list(_inside(plain))
+                if error is None and got and all(kind == "gap" for kind, _ in got):
+                    raise ValueError(got[0][1][2])
             else:
                 fields, end = _record(data, at)
-                got = [fields]
-        except (ValueError, zlib.error) as e:
+                got = [("record", fields)]
+        except ValueError as e:
+            got, error = [], str(e)[:80]
+        good = [x for x in got if error is None or x[0] == "record"]
+        if lost is not None and (error is None or good):
+            yield "gap", (lost, at, reason)
+            lost = None
+        for kind, x in good:
+            yield kind, x if kind == "record" else (at, end, f"inside a member, bytes {x[0]} to {x[1]}: {x[2]}")
+        if error is not None:
             found = _NEXT.search(data, at + 1)
             end = found.start() if found else len(data)
             if lost is None:
-                lost, reason = at, str(e)[:80]
-        else:
-            if lost is not None:
-                yield "gap", (lost, at, reason)
-                lost = None
-            for fields in got:
-                yield "record", fields
+                lost, reason = at, error
         at = end
     if lost is not None:
         yield "gap", (lost, len(data), reason)

@@ -251,6 +251,21 @@ def test_warc_salvage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_salvage_inside_a_member():
+    import gzip
+
+    def record(n, body):
+        return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <r:{n}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    a, b, c = (record(n, random.Random(n).randbytes(3000)) for n in range(3))
+    names = lambda data: [x[0] if x[0] == "gap" else x[1][0] for x in warc.salvage(data)]
+    assert names(gzip.compress(a + b[:-30] + c)) == ["<r:0>", "gap", "<r:2>"]
+    whole = gzip.compress(a + b + c)
+    assert names(whole) == ["<r:0>", "<r:1>", "<r:2>"]
+    assert names(whole[: len(whole) * 3 // 4]) == ["<r:0>", "<r:1>", "gap"]
+    assert names(gzip.compress(b"nothing") + gzip.compress(a)) == ["gap", "<r:0>"]
+
+
 def test_warc_nulls(spark):
     pages = spark.createDataFrame([(1, "u", "x"), (2, None, "x"), (3, "u\nv", None), (4, "u", ""), (None, "u", "q")], "page_id long, url string, html string")
     from strataflow.llm.common import new_path
