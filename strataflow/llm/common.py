@@ -8,6 +8,7 @@ are single ASCII bytes.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -29,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where unset (tests), a new local one."""
+    """The folder of spark.checkpoint.dir; where unset, a new one if driver and executors are one process, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='strataflow-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -48,7 +51,54 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strataflow_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table of ``stored`` that nothing reads any more."""
+    path = df._strataflow_path
+    remove(df.sparkSession, path)
+    _written.remove((df.sparkSession, path))
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: int):
+    """Arrow batches of about ``size`` bytes in queries that are run inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if held is None else spark.conf.set(name, held)
+
+
+def whole_groups(batches, keys: list[str]):
+    """Arrow batches of the same rows in which no run of equal keys (without nulls) is cut; rows come ordered by the keys."""
+    import pyarrow as pa
+
+    held, last = [], None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        end = tuple(c[-1] for c in columns)
+        begin = n - int(np.argmin(np.logical_and.reduce([c[::-1] == e for c, e in zip(columns, end)]))) if any((c != e).any() for c, e in zip(columns, end)) else 0
+        if held and last is not None and (begin or last != end):
+            # the held run ends in this batch, or just before it
+            yield pa.Table.from_batches([*held, batch.slice(0, begin)]).combine_chunks().to_batches()[0]
+            held = [batch.slice(begin)]
+        elif begin:
+            yield batch.slice(0, begin)
+            held = [batch.slice(begin)]
+        else:
+            held.append(batch)
+        last = end
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,25 +1,34 @@
-"""Operator 2: n-gram Jaccard join with a prefix tree.
+"""Operator 2: n-gram Jaccard join with prefix trees.
 
 1. Texts become sets of 64-bit shingle hashes; equal sets are one class.
-2. All sets follow one global order: shingles that are frequent anywhere last
-   (their counts are gathered batch by batch), others by hash.  Two sets that
-   reach the threshold share a shingle among their first ``n - ceil(t n) + 1``.
-3. Classes meet on these shingles.  Large meetings are split into tiles.  A pair
-   goes on if lengths, positions and the parity signature (a lower bound of the
-   symmetric difference) allow the threshold.
-4. Of the pairs between classes not yet connected, each class tries its nearest
-   first, more of them in later rounds, and all in the last, so no link that
-   would join two components is missed and no group emits all its pairs.
-   ``jaccard_links`` has the last round only, so no link at all is missed.
-5. Tried pairs whose longer signatures still allow it are verified exactly: the sets that one class is held against
-   stand in a trie by global order; its traversal shares the overlap of common
-   beginnings and leaves subtrees whose remaining length can't reach the bound.
+2. All sets follow one global order, rarest shingle first.  Document counts are
+   exact: chunks of documents post their shingles, packed, to hash buckets; a
+   shingle that several documents of a chunk have is posted once with its count,
+   so that frequent ones load no bucket.  Buckets answer each chunk with the
+   counts of the shingles that more than one document has.
+3. Two sets that reach the threshold share a shingle among their first
+   ``n - ceil(t n) + 1``.  Classes meet on these; meetings larger than a tile are
+   dealt over pairs of blocks.  Pairs whose lengths, positions and parity
+   signatures (a lower bound of the symmetric difference) allow the threshold
+   connect their classes into neighbourhoods; large meetings give a spanning
+   forest, not their pairs.
+4. The set of each class in a neighbourhood is sent once to a block of bounded
+   size.  A block is a prefix tree: its sets follow one order, common beginnings
+   are stored once, and one traversal holds all probes of the block against it,
+   sharing their partial overlaps and leaving a subtree for each probe that the
+   remaining lengths rule out.  Neighbourhoods larger than a block are held
+   against each other block by block.  What reaches the leaves is exact.
+
+All links between different texts are found; none is written as a pair.  The
+work within one neighbourhood grows with the square of its different texts.
 
 Null and empty texts have no set and are linked with nothing; repeated rows and
-rows that repeat a doc_id are linked by their texts; a null doc_id never is a
-component's id unless all of the component are null.  Empty tables give none.
-Hashes have 64 bits: with n distinct shingles a chance collision of any two has
-a probability of about n^2 / 2^65.
+rows that repeat a doc_id are linked by their texts, also over rows without a
+doc_id; a null doc_id never is a component's id unless all of the component are
+null.  Other columns are not read.  Empty tables give none.  Hashes have 64 bits:
+with n distinct shingles a chance collision of any two has a probability of
+about n^2 / 2^65.  A lost task must find the same rows in the same order again,
+as it does in files.
 """
 
 from __future__ import annotations
@@ -29,23 +38,26 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import ByteWords, array_slices, stored, table
+from strataflow.llm.common import ByteWords, array_slices, arrow_batches, stored, table, whole_groups
 from strataflow.llm.components import components
 
 WIDTH, PERCENT = 4, 85
-#: A shingle is frequent if so large a share of a batch of documents has it.
-FREQUENT_SHARE, FREQUENT_LEAST = 1 / 500, 8
-BATCH = 10_000
-#: Classes in a block; a tile holds two blocks.
-BLOCK = 1024
-#: Pairs that a class tries in each round; None: all.
-ROUNDS = (1, 8, 64, None)
-#: Elements after which a new trie begins (a node takes some hundred bytes), and pairs in an Arrow batch.
-TRIE_ELEMENTS, PAIRS_PER_BATCH = 200_000, 500
-#: Classes (24 bytes each) that are sent to all tasks to find their texts; more are joined by a shuffle.
+#: Shingles and documents of a chunk, and bytes of text of a bucket.
+CHUNK, CHUNK_DOCS, BUCKET_BYTES = 1_000_000, 60_000, 12_000_000
+#: Bytes of a shingle in a bucket, besides the bits that name the bucket.
+KEY_BYTES = 5
+SEVERAL = 0xFFFF
+#: Classes of a block of a meeting; meetings up to SMALL give pairs.
+MEETING, SMALL = 2048, 16
+#: Sets and elements of a block of a neighbourhood, and cells of the table that says which probe has which element.
+BLOCK_SETS, BLOCK_ELEMENTS, CELLS = 512, 400_000, 32_000_000
+#: Bytes of an Arrow batch of packed rows or sets.
+BATCH_BYTES = 8_000_000
+#: Ids (16 bytes each) that are sent to all tasks to find texts; more are joined by a shuffle.
 MOST_BROADCAST = 300_000
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(8)]
 
@@ -74,48 +86,6 @@ def shingle_sets(texts, width: int):
                 yield np.zeros(0, np.uint64)
 
 
-def sets_of(batch, width: int):
-    return [s for _, texts in array_slices(batch) for s in shingle_sets(texts, width)]
-
-
-def _frequent(batches, width: int):
-    for batch in batches:
-        sets = sets_of(batch, width)
-        if not sets:
-            continue
-        shingles, counts = np.unique(np.concatenate(sets), return_counts=True)
-        many = counts >= max(FREQUENT_LEAST, len(sets) * FREQUENT_SHARE)
-        yield pa.RecordBatch.from_arrays([pa.array(shingles[many].view(np.int64)), pa.array(counts[many])], ["h", "n"])
-
-
-def frequent_shingles(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of frequent shingles and their approximate counts.
-
-    A batch can't have more of them than its mean set size / FREQUENT_SHARE, and
-    those below a quarter of the share of all documents are left out again, so
-    the result is bounded by 4 * mean set size / FREQUENT_SHARE at any size.
-    """
-    n = docs.count()
-    rows = docs.select("text").mapInArrow(partial(_frequent, width=width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = rows.filter(F.col("n") >= n * FREQUENT_SHARE / 4).toArrow()
-    h, counts = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], counts[order]
-
-
-def ordered(shingles: np.ndarray, frequent) -> tuple[np.ndarray, np.ndarray]:
-    """The set in global order, and which of it are frequent."""
-    hashes, counts = frequent
-    if not len(hashes) or not len(shingles):
-        return shingles, np.zeros(len(shingles), bool)
-    at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
-    hot = hashes[at] == shingles
-    if not hot.any():
-        return shingles, hot
-    order = np.lexsort((shingles, np.where(hot, counts[at], 0)))
-    return shingles[order], hot[order]
-
-
 def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
@@ -126,264 +96,522 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _classes(batches, width: int, percent: int, frequent):
+# -- document counts of shingles -------------------------------------------------------------------------------------
+
+
+def _short(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The places of shingles within their buckets, as numbers of KEY_BYTES bytes."""
+    return (shingles << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES)
+
+
+def _packed(short: np.ndarray) -> bytes:
+    return np.ascontiguousarray(short.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def _chunk_rows(chunk: int, ids, sets, bits: int):
+    """Rows of a chunk: one of its documents and the shingles that several of them have, and one for each bucket."""
+    n = np.array([len(s) for s in sets], np.int64)
+    node = np.array([set_id(s) if len(s) else 0 for s in sets], np.int64)
+    signs = b"".join(signature(s).tobytes() for s in sets)
+    firsts = np.zeros(len(sets), bool)  # copies within the chunk post nothing
+    firsts[np.unique(node, return_index=True)[1]] = True
+    firsts &= n > 0
+    posting = [s for s, f in zip(sets, firsts) if f]
+    doc = np.repeat(np.flatnonzero(firsts), n[firsts]).astype(np.uint16)
+    h = np.concatenate(posting) if posting else np.zeros(0, np.uint64)
+    bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    short = _short(h, bits)
+    key = (bucket.astype(np.uint64) << np.uint64(8 * KEY_BYTES)) | short
+    order = np.argsort(key, kind="stable")
+    sorted_key = key[order]
+    start = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(key)])
+    alone = np.ones(len(key), bool)
+    many = size > 1
+    in_many = np.repeat(many, size)
+    alone[order[in_many]] = False
+    yield chunk, chunk, ids, n, node, signs, sorted_key[start[many]].tobytes(), doc[order[in_many]].tobytes(), size[many].astype(np.uint32).tobytes()
+    # each bucket: first the shingles of one document, in the order of documents, then those of several
+    at = np.r_[bucket[alone], bucket[order[start[many]]]]
+    keys = np.r_[short[alone], short[order[start[many]]]]
+    refs = np.r_[doc[alone], np.full(int(many.sum()), SEVERAL, np.uint16)]
+    counts = np.r_[np.ones(int(alone.sum()), np.uint32), size[many].astype(np.uint32)]
+    by = np.argsort(at, kind="stable")
+    edges = np.searchsorted(at[by], np.arange((1 << bits) + 1))
+    for b in np.flatnonzero(np.diff(edges)):
+        rows = by[edges[b] : edges[b + 1]]
+        several = refs[rows] == SEVERAL
+        yield int(b), chunk, None, None, None, None, _packed(keys[rows]), refs[rows].tobytes(), counts[rows][several].tobytes()
+
+
+_COLUMNS = ["at", "chunk", "ids", "n", "node", "sign", "keys", "refs", "counts"]
+
+
+def _types(id_type: pa.DataType) -> list:
+    return [pa.int64(), pa.int64(), pa.list_(id_type), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _batch(rows: list, id_type: pa.DataType) -> pa.RecordBatch:
+    columns = [[x.tobytes() if isinstance(x, np.ndarray) else x for x in c] for c in zip(*rows)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _types(id_type))], _COLUMNS)
+
+
+def _posted(batches, width: int, bits: int):
+    part, k = TaskContext.get().partitionId(), 0
+    ids, sets, held, id_type = [], [], 0, None
+
+    def out():
+        nonlocal k
+        rows, size = [], 0
+        for row in _chunk_rows((part << 24) + k, ids, sets, bits):
+            rows.append(row)
+            size += len(row[6]) + len(row[7])
+            if size > BATCH_BYTES:
+                yield _batch(rows, id_type)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, id_type)
+        k += 1
+
     for batch in batches:
-        ids = batch.column("doc_id")
+        column = batch.column("doc_id")
+        id_type = column.type
         for at, texts in array_slices(batch):
-            n, node, signs, prefix, hot = [], [], [], [], []
-            for s in shingle_sets(texts, width):
-                n.append(len(s))
-                if not len(s):
-                    for x in (node, signs, prefix, hot):
-                        x.append(None)
-                    continue
-                node.append(set_id(s))
-                signs.append(signature(s).tolist())
-                o, h = ordered(s, frequent)
-                first = len(s) + (-percent * len(s)) // 100 + 1
-                prefix.append(o[:first].view(np.int64))
-                hot.append(len(s) and int(np.argmax(h[:first])) if h[:first].any() else first)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(signs, longs), pa.array(prefix, longs), pa.array(hot, pa.int64())], ["doc_id", "n", "node", "sign", "prefix", "hot_from"])
-
-
-def _near(a, b, tried: int | None, percent: int, same: bool):
-    """Rows (node, other, distance, more) of the pairs of two blocks that may reach the threshold."""
-    (node_a, n_a, pos_a, comp_a, sign_a), (node_b, n_b, pos_b, comp_b, sign_b) = a, b
-    total = n_a[:, None] + n_b[None, :]
+            names = column.slice(at, len(texts)).to_pylist()
+            for name, s in zip(names, shingle_sets(texts, width)):
+                ids.append(name)
+                sets.append(s)
+                held += len(s)
+                if held >= CHUNK or len(ids) >= CHUNK_DOCS:
+                    yield from out()
+                    ids, sets, held = [], [], 0
+    if ids:
+        yield from out()
+
+
+def _counted(batches):
+    """Answers each chunk with the counts of those shingles of a bucket that more than one document has."""
+    for batch in whole_groups(batches, ["at"]):
+        id_type = batch.schema.field("ids").type.value_type
+        own = batch.column("n").is_valid().to_numpy(zero_copy_only=False)
+        if own.any():
+            yield batch.filter(pa.array(own))
+        if own.all():
+            continue
+        batch = batch.filter(pa.array(~own))
+        buckets = batch.column("at").to_numpy()
+        chunks, refs, counts = batch.column("chunk"), batch.column("refs"), batch.column("counts")
+        for b in np.unique(buckets):
+            at = np.flatnonzero(buckets == b)
+            keys = [_unpacked(batch.column("keys")[int(i)].as_py()) for i in at]
+            ends = np.cumsum([0, *map(len, keys)])
+            keys = np.concatenate(keys)
+            ref = np.concatenate([np.frombuffer(refs[int(i)].as_py(), np.uint16) for i in at])
+            count = np.ones(len(keys), np.int64)
+            count[ref == SEVERAL] = np.concatenate([np.frombuffer(counts[int(i)].as_py(), np.uint32) for i in at])
+            order = np.argsort(keys, kind="stable")
+            start = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+            total = np.add.reduceat(count[order], start)
+            found = np.empty(len(keys), np.int64)
+            found[order] = np.repeat(total, np.diff(np.r_[start, len(keys)]))
+            rows = []
+            for i, lo, hi in zip(at, ends[:-1], ends[1:]):
+                met = np.flatnonzero(found[lo:hi] > 1) + lo
+                if len(met):
+                    rows.append((int(b), chunks[int(i)].as_py(), None, None, None, None, _packed(keys[met]), ref[met].tobytes(), np.minimum(found[met], 0xFFFFFFFF).astype(np.uint32).tobytes()))
+            if rows:
+                yield _batch(rows, id_type)
+
+
+def _prefixes(batches, percent: int):
+    """Of each chunk its documents, and the met shingles among the first of its sets in global order."""
+    names = ["doc_id", "n", "node", "token", "pos", "df", "sign"]
+    longs = pa.list_(pa.int64())
+    for batch in whole_groups(batches, ["chunk"]):
+        chunk = batch.column("chunk").to_numpy()
+        valid = batch.column("n").is_valid().to_numpy(zero_copy_only=False)
+        for c in np.unique(chunk):
+            mine = np.flatnonzero(chunk == c)
+            own = int(mine[valid[mine]][0])
+            read = lambda name, i, kind: np.frombuffer(batch.column(name)[i].as_py(), kind)  # noqa: B023, E731
+            ids = batch.column("ids")[own].values
+            n, node = read("n", own, np.int64), read("node", own, np.int64)
+            sign = read("sign", own, np.int64).reshape(-1, 4)
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(node, mask=n == 0), none, none, none, pa.nulls(len(n), longs)], names)
+            keys, refs, dfs = [], [], []
+            for i in mine:
+                if i != own:
+                    bucket = np.uint64(batch.column("at")[int(i)].as_py()) << np.uint64(8 * KEY_BYTES)
+                    keys.append(_unpacked(batch.column("keys")[int(i)].as_py()) | bucket)
+                    refs.append(read("refs", int(i), np.uint16))
+                    dfs.append(read("counts", int(i), np.uint32).astype(np.int64))
+            if not keys:
+                continue
+            key, doc, df = np.concatenate(keys), np.concatenate(refs), np.concatenate(dfs)
+            several = doc == SEVERAL
+            if several.any():
+                shared, size = read("keys", own, np.uint64), read("counts", own, np.uint32)
+                at = np.argsort(key[several])
+                count = df[several][at][np.searchsorted(key[several][at], shared)]
+                key = np.r_[key[~several], np.repeat(shared, size)]
+                doc = np.r_[doc[~several], read("refs", own, np.uint16)]
+                df = np.r_[df[~several], np.repeat(count, size)]
+            doc = doc.astype(np.int64)
+            order = np.lexsort((key, df, doc))
+            key, doc, df = key[order], doc[order], df[order]
+            met = np.bincount(doc, minlength=len(n))
+            begin = np.r_[0, np.cumsum(met)]
+            rank = np.arange(len(doc)) - begin[doc]
+            # two shingles of a set that look alike in their buckets share the lower place
+            same = np.r_[False, (key[1:] == key[:-1]) & (df[1:] == df[:-1]) & (doc[1:] == doc[:-1])]
+            rank = np.maximum.accumulate(np.where(same, -1, np.arange(len(doc)))) - begin[doc] if same.any() else rank
+            pos = (n - met)[doc] + rank
+            keep = (pos < (n + (-percent * n) // 100 + 1)[doc]) & ~same
+            key, doc, df, pos = key[keep], doc[keep], df[keep], pos[keep]
+            for lo in range(0, len(key), 20_000):
+                s = slice(lo, lo + 20_000)
+                d = doc[s]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(d), ids.type), pa.array(n[d]), pa.array(node[d]), pa.array(key[s].view(np.int64)), pa.array(pos[s]), pa.array(df[s]), pa.FixedSizeListArray.from_arrays(pa.array(sign[d].ravel()), 4).cast(longs)], names)
+
+
+def scan_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, node of each row, and token, node, n, pos, df, sign of each class (maybe repeated) under its met prefix shingles."""
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", "text")
+    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(24, max(0, int(np.ceil(np.log2(max(1, bytes_ / BUCKET_BYTES))))))
+    packed = f"at long, chunk long, ids array<{kind}>, n binary, node binary, sign binary, keys binary, refs binary, counts binary"
+    with arrow_batches(spark, BATCH_BYTES):
+        rows = texts.mapInArrow(partial(_posted, width=width, bits=bits), packed)
+        rows = rows.repartition(1 << bits, "at").sortWithinPartitions("at").mapInArrow(_counted, packed)
+        rows = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(partial(_prefixes, percent=percent), f"doc_id {kind}, n long, node long, token long, pos long, df long, sign array<long>")
+        scan = stored(rows, "jaccard-scan")
+    return scan.filter("token IS NULL").select("doc_id", "n", "node"), scan.filter("token IS NOT NULL").drop("doc_id")
+
+
+# -- neighbourhoods --------------------------------------------------------------------------------------------------
+
+
+def _allowed(rows, i, j, percent: int):
+    """Which pairs (i, j) may reach the threshold by lengths, positions and signatures."""
+    _, n, pos, sign = rows
+    total = n[i] + n[j]
     need = (percent * total + 99 + percent) // (100 + percent)
-    ok = (comp_a[:, None] != comp_b[None, :]) & (np.minimum((n_a - pos_a)[:, None], (n_b - pos_b)[None, :]) >= need)
-    i, j = np.nonzero(ok)
-    if same:
-        i, j = i[i < j], j[i < j]
-    apart = np.bitwise_count((sign_a[i] ^ sign_b[j]).view(np.uint64)).sum(1).astype(np.int64) if len(i) else np.zeros(0, np.int64)
-    total, need = total[i, j], need[i, j]
-    fine = apart <= total - 2 * need
-    i, j, far = i[fine], j[fine], apart[fine] / total[fine]
-    left = np.concatenate([node_a[i], node_b[j]])
-    right = np.concatenate([node_b[j], node_a[i]])
-    far = np.concatenate([far, far])
-    order = np.lexsort((right, far, left))
-    left, right, far = left[order], right[order], far[order]
-    more = np.zeros(len(left), bool)
-    if tried is not None and len(left):
-        start = np.r_[0, np.flatnonzero(np.diff(left)) + 1]
-        rank = np.arange(len(left)) - np.repeat(start, np.diff(np.r_[start, len(left)]))
-        over = np.isin(left, left[rank >= tried])
-        keep = rank < tried
-        left, right, far, more = left[keep], right[keep], far[keep], over[keep]
-    return left, right, far, more
-
-
-def _tiles(batches, tried: int | None, percent: int):
-    names = ["node", "other", "far", "more"]
-    for batch in batches:
-        out = []
-        same = batch.column("same").to_pylist()
-        members = batch.column("members")
-        flat = members.flatten()
-        ends = np.cumsum([0, *(len(x) for x in members)])
-        column = lambda k: flat.field(k).to_numpy(zero_copy_only=False)
-        node, n, pos, comp, block = (column(k) for k in ("node", "n", "pos", "comp", "block"))
-        sign = flat.field("sign").flatten().to_numpy().reshape(-1, 4)
-        for r, alike in enumerate(same):
-            s = slice(ends[r], ends[r + 1])
-            part = [x[s] for x in (node, n, pos, comp)] + [sign[s]]
-            if alike:
-                out.append(_near(part, part, tried, percent, True))
+    ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+    i, j, total, need = i[ok], j[ok], total[ok], need[ok]
+    fine = np.bitwise_count((sign[i] ^ sign[j]).view(np.uint64)).sum(1).astype(np.int64) <= total - 2 * need
+    return i[fine], j[fine]
+
+
+def _forest(rows, left, right, percent: int):
+    """A spanning forest of the allowed pairs of a meeting of two blocks (or one with itself)."""
+    root = {}
+
+    def top(x):
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
+        return x
+
+    out = []
+    step = max(1, 1_000_000 // max(1, len(right)))
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        i, j = np.repeat(some, len(right)), np.tile(right, len(some))
+        if left is right:
+            i, j = i[i < j], j[i < j]
+        i, j = _allowed(rows, i, j, percent)
+        for a, b in zip(i.tolist(), j.tolist()):
+            a, b = top(a), top(b)
+            if a != b:
+                root[b] = a
+                out.append((a, b))
+    return out
+
+
+def _neighbours(batches, percent: int):
+    """Edges (u, v) between classes that meet and may reach the threshold."""
+    for batch in whole_groups(batches, ["token", "a", "b"]):
+        token, a, b, node, n, pos, block = (batch.column(c).to_numpy() for c in ("token", "a", "b", "node", "n", "pos", "block"))
+        sign = batch.column("sign").flatten().to_numpy().reshape(-1, 4)
+        # rows are ordered by tile and node: classes count once
+        tile = np.r_[True, (token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        fresh = tile | np.r_[True, node[1:] != node[:-1]]
+        tile_of = np.cumsum(tile)[fresh]
+        rows = (node[fresh], n[fresh], pos[fresh], sign[fresh])
+        cross, block = (a != b)[fresh], block[fresh]
+        start = np.flatnonzero(np.r_[True, tile_of[1:] != tile_of[:-1]])
+        size = np.diff(np.r_[start, len(tile_of)])
+        # small meetings at once: each member with those before it
+        small = np.repeat(size <= SMALL, size) & ~cross
+        before = np.where(small, np.arange(len(tile_of)) - np.repeat(start, size), 0)
+        j = np.repeat(np.arange(len(tile_of)), before)
+        i = np.arange(len(j)) - np.repeat(np.cumsum(before) - before, before) + np.repeat(np.repeat(start, size), before)
+        i, j = _allowed(rows, i, j, percent)
+        found = [(i, j)]
+        for s, m in zip(start.tolist(), size.tolist()):
+            members = np.arange(s, s + m)
+            if cross[s]:
+                low = block[s : s + m] == block[s : s + m].min()
+                pairs = _forest(rows, members[low], members[~low], percent)
+            elif m > SMALL:
+                pairs = _forest(rows, members, members, percent)
             else:
-                low = block[s] == block[s].min()
-                out.append(_near([x[low] for x in part], [x[~low] for x in part], tried, percent, False))
-        if out:
-            columns = [np.concatenate(c) for c in zip(*out)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                continue
+            if pairs:
+                found.append(tuple(np.array(pairs).T))
+        u, v = (rows[0][np.concatenate([p[k] for p in found])] for k in (0, 1))
+        both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+
+
+def neighbourhoods(postings: DataFrame, percent: int) -> DataFrame:
+    """node, component of the classes that have a neighbour."""
+    postings = postings.withColumn("blocks", F.ceil(F.col("df") / MEETING)).drop("df")
+    one = postings.filter("blocks = 1").selectExpr("token", "0L AS a", "0L AS b", "0L AS block", "node", "n", "pos", "sign")
+    large = postings.filter("blocks > 1").dropDuplicates(["token", "node"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    large = large.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = large.select("token", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "block", "node", "n", "pos", "sign")
+    rows = one.unionByName(large).repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "node")
+    found = components(rows.mapInArrow(partial(_neighbours, percent=percent), "u long, v long"))
+    return found.unionByName(found.selectExpr("component AS node", "component").distinct())
+
+
+# -- prefix trees ----------------------------------------------------------------------------------------------------
 
 
 class Trie:
-    """Sets in global order; each node knows the longest set below it."""
-
-    __slots__ = ("root",)
-
-    def __init__(self, sets):
-        self.root: list = [{}, 0, []]  # children, longest set below, sets that end here
-        for key, elements in sets:
-            node = self.root
-            size = len(elements)
-            node[1] = max(node[1], size)
-            for e in elements:
-                node = node[0].setdefault(e, [{}, 0, []])
-                if node[1] < size:
-                    node[1] = size
-            node[2].append((key, size))
-
-    def similar(self, probe: set, percent: int):
-        """Yields the keys of sets whose Jaccard similarity with ``probe`` is at least the percentage."""
-        n = len(probe)
-        stack = [(self.root, 0, 0)]
+    """Sets of numbers, each in ascending order, with common beginnings stored once.
+
+    An edge holds a run of elements; a node knows the longest and the shortest
+    set below it and the sets that end there.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u4").tobytes())
+        self.root = self._node(None, 0, 0)
+        path = [self.root]
+        last = None
+        for k in order:
+            s = sets[k]
+            common = 0
+            if last is not None:
+                m = min(len(s), len(last))
+                apart = np.flatnonzero(s[:m] != last[:m])
+                common = int(apart[0]) if len(apart) else m
+            cut = None
+            while path[-1]["end"] > common:
+                cut = path.pop()
+            if cut is not None and path[-1]["end"] < common:  # the edge is split where the sets part
+                middle = self._node(cut["elements"][: common - cut["begin"]], cut["begin"], common)
+                cut["elements"], cut["begin"] = cut["elements"][common - cut["begin"] :], common
+                path[-1]["children"][-1] = middle
+                middle["children"].append(cut)
+                path.append(middle)
+            if path[-1]["end"] < len(s):
+                leaf = self._node(s[path[-1]["end"] :], path[-1]["end"], len(s))
+                path[-1]["children"].append(leaf)
+                path.append(leaf)
+            path[-1]["sets"].append(k)
+            last = s
+        self._lengths(self.root)
+
+    @staticmethod
+    def _node(elements, begin: int, end: int) -> dict:
+        return {"elements": elements, "begin": begin, "end": end, "children": [], "sets": [], "longest": 0, "shortest": 0}
+
+    @staticmethod
+    def _lengths(root: dict) -> None:
+        stack = [(root, False)]
         while stack:
-            node, depth, shared = stack.pop()
-            for key, size in node[2]:
-                if 100 * shared >= percent * (n + size - shared):
-                    yield key
-            longest = node[1]
-            # what may be missed on the way to the longest set below; shorter ones may miss less
-            spare = longest - (percent * (n + longest) + 99 + percent) // (100 + percent)
-            for e, child in node[0].items():
-                got = shared + (e in probe)
-                if depth + 1 - got <= spare:
-                    stack.append((child, depth + 1, got))
-
-
-def _verified(batches, percent: int):
-    for batch in batches:
-        u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-        left, right = batch.column("left"), batch.column("right")
-        found_u, found_v = [], []
-        i = 0
-        while i < len(u):
-            j, held = i + 1, len(right[i].values)
-            while j < len(u) and u[j] == u[i] and held < TRIE_ELEMENTS:
-                held += len(right[j].values)
-                j += 1
-            trie = Trie((v[k], right[k].values.to_pylist()) for k in range(i, j))
-            near = list(trie.similar(set(left[i].values.to_pylist()), percent))
-            found_u += [u[i]] * len(near)
-            found_v += near
-            i = j
-        yield pa.RecordBatch.from_arrays([pa.array(found_u, pa.int64()), pa.array(found_v, pa.int64())], ["u", "v"])
-
-
-def long_signature(shingles: np.ndarray) -> bytes:
-    """Parity bits as many as a power of two that isn't below the set's size; halves folded by XOR give the shorter ones."""
-    size = max(512, 1 << (len(shingles) - 1).bit_length())
-    bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
-
-
-def _possible(batches, percent: int):
-    """Pairs whose long signatures allow the threshold."""
-    for batch in batches:
-        keep = []
-        for n, m, a, b in zip(*(batch.column(c).to_pylist() for c in ("n_u", "n_v", "bits_u", "bits_v"))):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            short = min(len(x), len(y))
-            x, y = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
-            need = (percent * (n + m) + 99 + percent) // (100 + percent)
-            keep.append(int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * need)
-        yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep, pa.bool_())), batch.column("v").filter(pa.array(keep, pa.bool_()))], ["u", "v"])
+            node, done = stack.pop()
+            if not done:
+                stack.append((node, True))
+                stack += [(c, False) for c in node["children"]]
+                continue
+            ends = [node["end"]] * bool(node["sets"])
+            node["longest"] = max([*ends, *(c["longest"] for c in node["children"])], default=0)
+            node["shortest"] = min([*ends, *(c["shortest"] for c in node["children"])], default=0)
+
+    def similar(self, has: np.ndarray, sizes: np.ndarray, percent: int):
+        """Yields (probe numbers, set) of those probes whose Jaccard similarity with the set is at least the percentage.
+
+        ``has[e, p]`` is 1 if probe p has the element e; ``sizes`` are the probes' numbers of elements.
+        """
+        stack = [(self.root, np.arange(len(sizes)), np.zeros(len(sizes), np.int64))]
+        while stack:
+            node, probes, shared = stack.pop()
+            if node["sets"]:
+                near = probes[100 * shared >= percent * (sizes[probes] + node["end"] - shared)]
+                for k in node["sets"]:
+                    yield near, k
+            for child in node["children"]:
+                longest, shortest = child["longest"], child["shortest"]
+                n = sizes[probes]
+                # what may be missed on the way to the longest set below; shorter ones may miss less
+                spare = longest - (percent * (n + longest) + 99 + percent) // (100 + percent)
+                ok = (child["begin"] - shared <= spare) & ((percent * (n + shortest) + 99 + percent) // (100 + percent) <= n)
+                if not ok.any():
+                    continue
+                on = probes[ok]
+                rows = has[child["elements"]]
+                got = shared[ok] + (rows if len(on) == has.shape[1] else rows[:, on]).sum(0, dtype=np.int64)
+                fine = child["end"] - got <= spare[ok]
+                if fine.any():
+                    stack.append((child, on[fine], got[fine]))
+
+
+def similar_sets(stored_sets: list[np.ndarray], probes: list[np.ndarray], percent: int) -> np.ndarray:
+    """links[i, j]: stored set i and probe j reach the percentage."""
+    vocabulary, inverse, counts = np.unique(np.concatenate(stored_sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(vocabulary), np.int64)
+    rank[np.lexsort((vocabulary, -counts))] = np.arange(len(vocabulary))  # what most sets have comes first: long common beginnings
+    ends = np.cumsum([len(s) for s in stored_sets])
+    trie = Trie([np.sort(r) for r in np.split(rank[inverse], ends[:-1])])
+    links = np.zeros((len(stored_sets), len(probes)), bool)
+    step = max(1, CELLS // len(vocabulary))
+    for at in range(0, len(probes), step):
+        some = probes[at : at + step]
+        sizes = np.array([len(p) for p in some], np.int64)
+        has = np.zeros((len(vocabulary), len(some)), np.uint8)
+        flat = np.concatenate(some)
+        place = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+        known = vocabulary[place] == flat
+        has[rank[place[known]], np.repeat(np.arange(len(some)), sizes)[known]] = 1
+        for near, k in trie.similar(has, sizes, percent):
+            links[k, at + near] = True
+    return links
+
+
+def _least_labels(links: np.ndarray) -> np.ndarray:
+    """The least number that each row of a symmetric matrix reaches."""
+    label = np.arange(len(links))
+    while True:
+        reached = np.where(links, label[None, :], len(links)).min(1)
+        new = np.minimum(label, reached)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _joined(batches, percent: int):
+    """node, root, others, whole: the least class of the tile that links lead to, documents linked with, and whether the tile is all of the neighbourhood."""
+    for batch in whole_groups(batches, ["component", "a", "b"]):
+        columns = [batch.column(c).to_numpy() for c in ("component", "a", "b", "block", "node", "rows")]
+        blocks = batch.column("blocks").to_numpy()
+        component, a, b = columns[:3]
+        tile = np.flatnonzero(np.r_[True, (component[1:] != component[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        out = []
+        for lo, hi in zip(tile.tolist(), [*tile[1:].tolist(), len(component)]):
+            some = lo + np.unique(columns[4][lo:hi], return_index=True)[1]
+            if len(some) < 2:
+                continue
+            block, node, rows = (c[some] for c in columns[3:])
+            sets = [np.frombuffer(batch.column("elements")[int(i)].as_py(), np.uint64) for i in some]
+            if a[lo] == b[lo]:
+                links = similar_sets(sets, sets, percent)
+            else:
+                first = block == a[lo]
+                if first.all() or not first.any():
+                    continue
+                left, right = np.flatnonzero(first), np.flatnonzero(~first)
+                links = np.zeros((len(some), len(some)), bool)
+                links[np.ix_(left, right)] = similar_sets([sets[i] for i in left], [sets[i] for i in right], percent)
+                links |= links.T
+            np.fill_diagonal(links, False)
+            out.append((node, node[_least_labels(links)], links @ rows, np.full(len(some), blocks[lo] == 1)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["node", "root", "others", "whole"])
 
 
-def _sets(batches, width: int, frequent):
+def _sets(batches, width: int):
+    """The sets of texts; of those with a wanted node only sets of that node."""
+    names = batches_names = None
     for batch in batches:
+        names = names or [c for c in batch.schema.names if c not in ("text", "node")]
+        batches_names = batches_names or ["node", *names, "elements"]
         wanted = batch.column("node").to_pylist()
         for at, texts in array_slices(batch):
-            nodes, sizes, bits, sets = [], [], [], []
+            rows, nodes, sets = [], [], []
             for k, s in enumerate(shingle_sets(texts, width)):
-                if len(s) and set_id(s) == wanted[at + k]:
-                    nodes.append(wanted[at + k])
-                    sizes.append(len(s))
-                    bits.append(long_signature(s))
-                    sets.append(ordered(s, frequent)[0][::-1].view(np.int64))  # frequent first: common beginnings
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "bits", "elements"])
-
+                if len(s) and wanted[at + k] in (None, x := set_id(s)):
+                    rows.append(at + k)
+                    nodes.append(x)
+                    sets.append(s.tobytes())
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(batch.column(c).take(rows) for c in names), pa.array(sets, pa.binary())], batches_names)
 
-def prefix_postings(scan: DataFrame) -> DataFrame:
-    """token, node, n, pos, sign of each class under the prefix shingles that others have too."""
-    classes = scan.filter("node IS NOT NULL").select("node", "n", "sign", "prefix", "hot_from").dropDuplicates(["node"])
-    rows = classes.select("node", "n", "hot_from", F.posexplode("prefix").alias("pos", "token"))
-    from pyspark.sql import Window
 
-    met = rows.filter("pos < hot_from").withColumn("met", F.count("*").over(Window.partitionBy("token"))).filter("met > 1").drop("met")
-    # frequent shingles are known to be met, and never gathered in one task
-    met = met.unionByName(rows.filter("pos >= hot_from")).drop("hot_from")
-    return stored(met, "jaccard-postings")
-
-
-def _linked(docs: DataFrame, width: int, percent: int, rounds) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The scan (doc_id, n, node), the links (u, v) that the rounds verified, and node, component; the round ``None`` alone verifies all."""
+def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scan (doc_id, n, node), its classes (node, doc_id, rows), and node, component, others of those with neighbours."""
     spark = docs.sparkSession
+    scan, postings = scan_sets(docs, width, percent)
+    near = neighbourhoods(postings, percent)
+    classes = stored(scan.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.min("n").alias("n")), "jaccard-classes")
+    active = stored(classes.join(near, "node"), "jaccard-active")
+    sizes = active.groupBy("component").agg(F.sum("n").alias("n"), F.count("*").alias("sets"))
+    sizes = stored(sizes.select("component", F.greatest(F.ceil(F.col("n") / BLOCK_ELEMENTS), F.ceil(F.col("sets") / BLOCK_SETS)).alias("blocks")), "jaccard-blocks")
+    placed = active.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("n")
+    known = placed.filter("doc_id IS NOT NULL")
+    counts = active.agg(F.count("doc_id"), F.count("*")).first()
     texts = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    frequent = frequent_shingles(texts, width)
-    scan = stored(texts.mapInArrow(partial(_classes, width=width, percent=percent, frequent=frequent), f"doc_id {kind}, n long, node long, sign array<long>, prefix array<long>, hot_from long"), "jaccard-scan")
-    postings = prefix_postings(scan)
-    sizes = postings.groupBy("token").count().filter("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK)).drop("count")
-    postings = postings.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    tiles = postings.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("token", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "node", "n", "pos", "block")
-    tiles = stored(tiles, "jaccard-tiles")
-    signs = scan.filter("node IS NOT NULL").select("node", "sign").dropDuplicates(["node"])
-    links, sets, tried = None, None, None
-    found = spark.createDataFrame([], "node long, component long")
-    for most in rounds:
-        labelled = tiles.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        open_tiles = labelled.groupBy("token", "a", "b").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token", "a", "b")
-        members = labelled.join(open_tiles, ["token", "a", "b"]).join(signs, "node")
-        grouped = members.groupBy("token", "a", "b").agg(F.collect_list(F.struct("node", "n", "pos", "comp", "block", "sign")).alias("members")).select((F.col("a") == F.col("b")).alias("same"), "members")
-        near = grouped.mapInArrow(partial(_tiles, tried=most, percent=percent), "node long, other long, far double, more boolean")
-        if most == 1:
-            near = near.groupBy("node").agg(F.min_by("other", F.struct("far", "other")).alias("other"), F.bool_or("more").alias("more"), F.countDistinct("other").alias("n")).select("node", "other", (F.col("more") | (F.col("n") > 1)).alias("more"))
-        near = stored(near.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"), "more").groupBy("u", "v").agg(F.bool_or("more").alias("more")), "jaccard-near")
-        if sets is None:
-            # a class with any candidate tries one in the first round, so these are all that ever need their sets
-            active = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
-            one = scan.join(active, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-            one = stored(one, "jaccard-active")
-            few = F.broadcast(one) if one.count() <= MOST_BROADCAST else one
-            # rows that repeat a doc_id may give a set twice, which only repeats its links
-            sets = stored(texts.join(few, "doc_id").select("node", "text").mapInArrow(partial(_sets, width=width, frequent=frequent), "node long, n long, bits binary, elements array<long>"), "jaccard-sets")
-        fresh = near.select("u", "v") if tried is None else near.select("u", "v").join(tried, ["u", "v"], "left_anti")
-        short = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-        fresh = stored(fresh.join(short("v"), "v").join(short("u"), "u").select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(partial(_possible, percent=percent), "u long, v long").distinct(), "jaccard-possible")
-        pairs = fresh.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("right")), "v").join(sets.select(F.col("node").alias("u"), F.col("elements").alias("left")), "u")
-        held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PAIRS_PER_BATCH)  # a row has two sets
-        new = stored(pairs.sortWithinPartitions("u", "v").select("u", "v", "left", "right").mapInArrow(partial(_verified, percent=percent), "u long, v long"), "jaccard-links")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
-        links = new if links is None else links.unionByName(new)
-        tried = near.select("u", "v") if tried is None else tried.unionByName(near.select("u", "v"))
-        found = components(links)
-        if near.filter("more").isEmpty():
-            break
-    return scan.select("doc_id", "n", "node"), links, found
-
-
-def _with_component_ids(scan: DataFrame, found: DataFrame) -> DataFrame:
-    comp = scan.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = comp.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("_first"))
-    return comp.join(ids, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_first", "doc_id").alias("component_id"), "node")
-
-
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds=ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row; see the module."""
-    scan, _, found = _linked(docs, width, percent, rounds)
-    return _with_component_ids(scan, found).drop("node")
+    extra = "rows long, blocks long, block long, component long"
+    with arrow_batches(spark, BATCH_BYTES):
+        found = texts.join(F.broadcast(known) if counts[0] <= MOST_BROADCAST else known, "doc_id").select("node", "rows", "blocks", "block", "component", "text")
+        sets = found.mapInArrow(partial(_sets, width=width), f"node long, {extra}, elements binary")
+        if counts[0] < counts[1]:  # classes of which no row has an id are found by their sets
+            nameless = texts.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(partial(_sets, width=width), "node long, elements binary")
+            sets = sets.unionByName(nameless.join(placed.filter("doc_id IS NULL").drop("doc_id"), "node"))
+        tiles = sets.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        tiles = tiles.select("component", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "blocks", "block", "node", "rows", "elements")
+        tiles = tiles.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b")
+        linked = stored(tiles.mapInArrow(partial(_joined, percent=percent), "node long, root long, others long, whole boolean"), "jaccard-links")
+    label = linked.filter("whole").selectExpr("node", "root AS component")
+    parts = linked.filter("NOT whole")
+    if not parts.isEmpty():
+        label = label.unionByName(components(parts.selectExpr("node AS u", "root AS v")))
+    others = linked.groupBy("node").agg(F.sum("others").alias("others"))
+    return scan, classes.drop("n"), others.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "others")
 
 
 def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for each row: ``n_links`` are the other rows whose sets reach the threshold.
+    """doc_id, n_shingles, component_id, n_links for each row; ``n_links`` are the other rows whose sets reach the threshold."""
+    scan, classes, linked = _linked(docs, width, percent)
+    classes = stored(classes.withColumnRenamed("doc_id", "first").join(linked, "node", "left"), "jaccard-classes")
+    ids = stored(classes.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least")), "jaccard-ids")
+    classes = stored(classes.join(ids, "component", "left").select("node", F.coalesce("least", "first").alias("component_id"), (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "jaccard-classes")
+    rows = scan.filter("node IS NOT NULL").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
+    empty = scan.filter("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return rows.unionByName(empty)
 
-    All candidate pairs of classes are verified, which are as many as the square of a group's classes.
-    """
-    scan, links, found = _linked(docs, width, percent, (None,))
-    links = links.distinct()
-    rows = scan.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"))
-    both = links.union(links.select("v", "u")).toDF("node", "other")
-    others = both.join(rows.select(F.col("node").alias("other"), "rows"), "other").groupBy("node").agg(F.sum("rows").alias("others"))
-    counts = rows.join(others, "node", "left").select("node", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return _with_component_ids(scan, found).join(counts, "node", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row; see the module."""
+    return jaccard_links(docs, width, percent).drop("n_links")
 
 
 def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The documents whose doc_id is that of their component; all whose component has no id."""
-    found = jaccard_components(docs, **how)
-    kept = stored(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "jaccard-kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    if not docs.filter("doc_id IS NULL").isEmpty():
-        out = out.unionByName(docs.filter("doc_id IS NULL"))
-    return out.select(docs.columns)
+    """The documents whose doc_id is that of their component.
+
+    Rows that repeat a doc_id stay or go together, and equal ones stay once.
+    Rows without a doc_id can't be told apart and stay.
+    """
+    found = jaccard_components(docs, **how).groupBy("doc_id").agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("stays"), F.count("*").alias("rows"))
+    found = stored(found.filter("doc_id IS NOT NULL AND (NOT stays OR rows > 1)"), "jaccard-dropped")
+    dropped = found.filter("NOT stays").select("doc_id")
+    out = docs.join(F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped, "doc_id", "left_anti").select(docs.columns)
+    if not found.filter("stays AND rows > 1").isEmpty():
+        named = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+        out = named.unionByName(out.filter("doc_id IS NULL"))
+    return out
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

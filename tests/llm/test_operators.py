@@ -149,11 +149,35 @@ def test_pipeline_drops_near_copies_by_five_words_and_80_percent(spark):
 
 def test_trie_prunes_but_misses_nothing():
     random.seed(3)
-    sets = [sorted(random.sample(range(30), random.randint(1, 20))) for _ in range(300)]
-    trie = jaccard_join.Trie(list(enumerate(sets)))
-    for s in sets[:60]:
-        want = {k for k, t in enumerate(sets) if 100 * len({*s} & {*t}) >= 60 * len({*s} | {*t})}
-        assert set(trie.similar(set(s), 60)) == want
+    sets = [np.array(sorted(random.sample(range(30), random.randint(1, 20))), np.uint64) for _ in range(300)]
+    probes = sets[:60] + [np.array([100, 200], np.uint64), np.array([1, 2, 500], np.uint64)]
+    for percent in (30, 60, 85, 100):
+        want = [[100 * len({*s} & {*t}) >= percent * len({*s} | {*t}) for t in map(np.ndarray.tolist, probes)] for s in map(np.ndarray.tolist, sets)]
+        assert (jaccard_join.similar_sets(sets, probes, percent) == np.array(want)).all()
+
+
+def test_jaccard_links_in_several_blocks_and_over_rows_without_an_id(spark, monkeypatch):
+    """Tiny chunks, meetings and blocks; a text that only rows without an id have joins two others."""
+    for name, value in (("CHUNK", 400), ("MEETING", 8), ("SMALL", 2), ("BLOCK_SETS", 7), ("BUCKET_BYTES", 4000)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    random.seed(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(f"v{random.randrange(40)}" if random.random() < i / 900 else w for w in base)) for i in range(90)]
+    rows += [(500, " ".join(f"c{i}" for i in range(80)))]
+    rows += [(None, " ".join(f"c{i}" if i else "d" for i in range(5, 80)) + " e1 e2 e3 e4 e5"), (501, " ".join(f"c{i}" for i in range(10, 80)) + " e1 e2 e3 e4 e5 e6 e7 e8 e9 e10")]
+    rows += [(3, rows[3][1]), (None, ""), (None, None)]
+    sets = [shingles(t) for _, t in rows]
+    near = [[bool(a) and bool(b) and i != j and 100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert near[-6][-5] and near[-5][-4] and not near[-6][-4]
+    group = list(range(len(rows)))
+    for i, row in enumerate(near):
+        for j in np.flatnonzero(row):
+            old, new = group[i], group[j]
+            group = [new if g == old else g for g in group]
+    least = {g: min((r[0] for r, h in zip(rows, group) if h == g and r[0] is not None), default=None) for g in group}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_links(df).collect()), key=str)
+    assert got == sorted(((r[0], len(s), least[g], sum(m)) for r, s, g, m in zip(rows, sets, group, near)), key=str)
 
 
 def test_signatures_bound_the_difference():
