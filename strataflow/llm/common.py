@@ -117,6 +117,14 @@ def clean_up() -> None:
             return
 
 
+def fresh(name: str, taken) -> str:
+    """The name, with underscores before it until no column is called so (in whatever case)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 

@@ -2,13 +2,17 @@
 
 States are the learned languages.  A word's emission score is the sum of the
 weights of its hashed features: the word itself (lexicon), its beginnings and
-ends (affixes) and its character trigrams.  Weights and the transitions between
-neighbouring words are learned together by maximum likelihood, and words are
-labelled by forward-backward, in chains of up to ``CHAIN`` words.
+ends (affixes) and all its character trigrams, however long it is; in scripts
+without spaces a word is a whole run of letters.  Weights and the transitions
+between neighbouring words are learned together by maximum likelihood, and words
+are labelled by forward-backward, in chains of up to ``CHAIN`` words; no message
+passes from chain to chain.
 
 A document's language has the highest mean posterior, which is its score.
 Null texts and texts without a letter are ``und`` with score 0, as is
-everything if no labels can be learned.  Repeated rows get a row each.
+everything if no labels can be learned.  Repeated rows get a row each; rows that
+repeat a doc_id are learned from once.  Other columns pass; those called like
+a result give way to it.
 """
 
 from __future__ import annotations
@@ -21,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import held_out, table, text_slices
+from strataflow.llm.common import held_out, powers, table, text_slices
 
 #: Bound of the labelled sample that is fitted: about so many documents of each language, by hash of their ids.
 SAMPLE_PER_LANGUAGE = 250
 CHAIN = 64
-CHARS = 20
 TABLE_BITS = 17
 STEPS = 30
-#: Words whose emissions a task keeps at hand; beyond it starts anew.
-MEMO = 200_000
+#: Words, and characters of words, whose emissions a task keeps at hand; beyond it starts anew.
+MEMO, MEMO_CHARS = 200_000, 4_000_000
+#: Characters whose features are made at once.
+SLICE_CHARS = 200_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,33 +47,56 @@ def words_of(text: str | None) -> list[str]:
     return found if found and (found[0].isalpha() or any(w.isalpha() or any(map(str.isalpha, w)) for w in found)) else []
 
 
-def feature_ids(words: list[str]) -> np.ndarray:
-    """Hashed features, a row for each word; 0 stands for no feature."""
-    c = np.array(words, f"U{CHARS}").view(np.uint32).reshape(len(words), CHARS).astype(np.uint64)
-    n = (c > 0).sum(1)
+def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        def mixed(h, kind):
-            h = (h + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
-            h ^= h >> np.uint64(33)
-            h *= np.uint64(0xC4CEB9FE1A85EC53)
-            return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+        h = (h + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(0xC4CEB9FE1A85EC53)
+        return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
 
+
+def feature_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features, word after word, and each word's first place among them."""
+    c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = np.array([len(w) for w in words], np.int64)
+    start = np.cumsum(n) - n
+    rows, found = [], []
+
+    def add(row, ids):
+        rows.append(row)
+        found.append(ids)
+
+    with np.errstate(over="ignore"):
         prime = np.uint64(0x100000001B3)
-        prefix, out = np.zeros(len(words), np.uint64), []
-        suffix = np.zeros(len(words), np.uint64)
-        rows = np.arange(len(words))
-        for k in range(CHARS):
-            prefix = np.where(c[:, k] > 0, prefix * prime + c[:, k], prefix)
-            if k < 4:
-                out.append(np.where(n > k, mixed(prefix, 1 + k), 0))
-                at = n - 1 - k
-                suffix = np.where(at >= 0, suffix * prime + c[rows, np.maximum(at, 0)], suffix)
-                out.append(np.where(at >= 0, mixed(suffix, 11 + k), 0))
-        out.append(mixed(prefix, 21))
-        for k in range(CHARS - 2):
-            gram = (c[:, k] * prime + c[:, k + 1]) * prime + c[:, k + 2]
-            out.append(np.where(c[:, k + 2] > 0, mixed(gram, 31), 0))
-    return np.stack(out, 1)
+        begin, end = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+        for k in range(4):
+            row = np.flatnonzero(n > k)
+            begin[row] = begin[row] * prime + c[start[row] + k]
+            end[row] = end[row] * prime + c[start[row] + n[row] - 1 - k]
+            add(row, _mixed(begin[row], 1 + k))
+            add(row, _mixed(end[row], 11 + k))
+        power, inverse = powers(len(c))
+        sums = np.r_[np.uint64(0), np.cumsum((c + np.uint64(1)) * power[: len(c)])]
+        add(np.arange(len(n)), _mixed((sums[start + n] - sums[start]) * inverse[start] + n.astype(np.uint64), 21))
+        of = np.repeat(np.arange(len(n)), n)
+        if len(c) > 2:
+            at = np.flatnonzero(of[2:] == of[:-2])
+            add(of[at], _mixed((c[at] * prime + c[at + 1]) * prime + c[at + 2], 31))
+    rows, found = np.concatenate(rows), np.concatenate(found)
+    order = np.argsort(rows, kind="stable")
+    return found[order], np.searchsorted(rows[order], np.arange(len(n)))
+
+
+def emission_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """Summed weights of each word's features, some characters at a time."""
+    ends = np.cumsum([len(w) for w in words])
+    out, at = [], 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_CHARS, side="right")))
+        ids, first = feature_ids(words[at:to])
+        out.append(np.add.reduceat(weights[ids], first, axis=0))
+        at = to
+    return np.concatenate(out).astype(np.float32)
 
 
 def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,23 +135,21 @@ class Labeller:
     def __init__(self, languages: list[str], weights: np.ndarray, moves: np.ndarray):
         self.languages, self.weights, self.moves = languages, weights, moves
         self.known: dict[str, int] = {}
+        self.known_chars = 0
         self.emissions = np.zeros((0, len(languages)), np.float32)
 
-    def __getstate__(self):
-        return {**self.__dict__, "known": {}, "emissions": self.emissions[:0]}
-
-    def score_words(self, words: list[str]) -> np.ndarray:
-        return np.concatenate([self.weights[feature_ids(words[i : i + 20_000])].sum(1) for i in range(0, len(words), 20_000)]).astype(np.float32)
-
     def ids(self, words: list[str]) -> np.ndarray:
         known = self.known
         new = list({w for w in words if w not in known})
-        if len(known) + len(new) > MEMO:
+        chars = sum(map(len, new))
+        if len(known) + len(new) > MEMO or self.known_chars + chars > MEMO_CHARS:
             known.clear()
             self.emissions, new = self.emissions[:0], list(set(words))
+            self.known_chars, chars = 0, sum(map(len, new))
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.emissions = np.concatenate([self.emissions, self.score_words(new)])
+            self.known_chars += chars
+            self.emissions = np.concatenate([self.emissions, emission_scores(new, self.weights)])
         return np.array([known[w] for w in words], np.int64)
 
     def posteriors(self, texts: list[list[str]]):
@@ -168,7 +194,8 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, penalty: floa
         return Labeller([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros((0, 0)))
     ids: dict[str, int] = {}
     flat = np.array([ids.setdefault(w, len(ids)) for s in split for w in s], np.int64)
-    features = feature_ids(list(ids))
+    features, begins = feature_ids(list(ids))
+    per_word = np.diff(np.r_[begins, len(features)])
     text, first, size = chains(np.array([len(s) for s in split], np.int64))
     at = np.minimum(first[:, None] + np.arange(CHAIN), len(flat) - 1)
     inside = np.arange(CHAIN) < size[:, None]
@@ -178,7 +205,7 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, penalty: floa
     weights, moves = np.zeros((1 << TABLE_BITS, states), np.float32), np.zeros((states, states))
     state = [[np.zeros_like(weights), np.zeros_like(weights)], [np.zeros_like(moves), np.zeros_like(moves)]]
     for step in range(1, steps + 1):
-        emissions = np.concatenate([weights[features[i : i + 50_000]].sum(1) for i in range(0, len(features), 50_000)])
+        emissions = np.add.reduceat(weights[features], begins, axis=0)
         by_word, expected = np.zeros((len(ids), states)), np.zeros_like(moves)
         for i in range(0, len(text), 4096):
             part = slice(i, i + 4096)
@@ -188,14 +215,12 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, penalty: floa
             where = flat[at[part]].ravel()
             for k in range(states):
                 by_word[:, k] += np.bincount(where, error[:, k], len(ids))
-        g = np.stack([np.bincount(features.ravel(), np.repeat(by_word[:, k], features.shape[1]), 1 << TABLE_BITS) for k in range(states)], 1) / len(flat)
+        g = np.stack([np.bincount(features, np.repeat(by_word[:, k], per_word), 1 << TABLE_BITS) for k in range(states)], 1) / len(flat)
         g -= penalty * weights
-        g[0] = 0
         for x, grad, (m, v) in ((weights, g, state[0]), (moves, (seen - expected) / len(flat) - 1e-3 * moves, state[1])):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             x += (0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(x.dtype)
-    weights[0] = 0
     return Labeller(languages, weights, moves)
 
 
@@ -209,7 +234,8 @@ def labelled_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     keep = F.lit(False)
     for lang, n in sizes.items():
         keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(unit)) < int(unit * min(1.0, SAMPLE_PER_LANGUAGE / n))))
-    rows = usable.filter(keep).select("text", "lang").collect()
+    # rows that repeat a doc_id count once, so the ids bound the sample
+    rows = usable.filter(keep).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x")).select("x.*").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -217,26 +243,34 @@ def fit(docs: DataFrame) -> Labeller:
     return train(*labelled_sample(docs))
 
 
-def _predicted(batches, labeller: Labeller):
+def _sent(spark, labeller: Labeller):
+    """The model as a broadcast of plain arrays, at most 2^TABLE_BITS weights a language."""
+    return spark.sparkContext.broadcast((labeller.languages, labeller.weights, labeller.moves))
+
+
+def _predicted(batches, model):
+    labeller = Labeller(*model.value)
     for batch in batches:
         languages, scores = [], []
         for _, texts in text_slices(batch):
             found = labeller.documents(texts)
             languages += found[0]
             scores += found[1]
-        rest = [batch.column(c) for c in batch.schema.names]
+        rest = [batch.column(i) for i in range(batch.num_columns)]
         yield pa.RecordBatch.from_arrays([*rest, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
 
-def identify(docs: DataFrame, labeller: Labeller, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` with lang_pred and score."""
-    columns = list(dict.fromkeys([*keep, "text"]))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    out = docs.select(*columns).mapInArrow(partial(_predicted, labeller=labeller), f"{kinds}, lang_pred string, score double")
-    return out.select(*keep, "lang_pred", "score")
+def identify(docs: DataFrame, labeller: Labeller, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of ``keep`` with language and score, called ``names``; of equal names the results stay."""
+    keep = [c for c in dict.fromkeys(keep) if c not in names]
+    columns = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)]
+    kinds = "".join(f"_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    out = docs.select(*columns, "text").mapInArrow(partial(_predicted, model=_sent(docs.sparkSession, labeller)), f"{kinds}text string, lang_pred string, score double")
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
-def _spans(batches, labeller: Labeller):
+def _spans(batches, model):
+    labeller = Labeller(*model.value)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
     for batch in batches:
         spans = [[dict(zip(("lang", "first_word", "n_words"), s)) for s in labeller.spans(t)] for _, texts in text_slices(batch) for t in texts]
@@ -244,9 +278,9 @@ def _spans(batches, labeller: Labeller):
 
 
 def label_spans(docs: DataFrame, labeller: Labeller) -> DataFrame:
-    """doc_id and the runs of words of one language."""
+    """doc_id and the runs of words of one language: the parts of code-switched texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(partial(_spans, labeller=labeller), f"doc_id {kind}, spans array<struct<lang:string,first_word:bigint,n_words:bigint>>")
+    return docs.select("doc_id", "text").mapInArrow(partial(_spans, model=_sent(docs.sparkSession, labeller)), f"doc_id {kind}, spans array<struct<lang:string,first_word:bigint,n_words:bigint>>")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
