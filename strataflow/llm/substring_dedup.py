@@ -12,7 +12,7 @@ covers are removed.
 
 The first document is the one with the smallest doc_id, in it the first place.
 Rows that repeat a doc_id count as one document; rows without one stay as they
-are and claim no span.  Null and empty texts, and texts of fewer words than a
+are and claim no span.  Other columns pass; of equal names the counts stay.  Null and empty texts, and texts of fewer words than a
 span, stay as they are.  The case of A-Z and the kind of white space don't matter.
 """
 
@@ -147,17 +147,20 @@ def _cleaned(batches, sentences: int, words: int):
         yield pa.RecordBatch.from_arrays([*columns, texts, *(pa.array(x, pa.int64()) for x in (n_sentences, n_removed, words_removed))], [*rest, "text", "n_sentences", "n_removed", "words_removed"])
 
 
-def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """The documents with repeated sentences removed from ``text``, and n_sentences, n_removed, words_removed."""
+def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, names: tuple[str, str, str] = ("n_sentences", "n_removed", "words_removed")) -> DataFrame:
+    """The documents with repeated sentences removed from ``text``, and the numbers of sentences, removed sentences and removed words, called ``names``."""
     # one shuffle of the spans tells each its first document; nulls have gone
     first = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     later = span_rows(docs, sentences, words).withColumn("_first", first).filter(F.col("doc_id") != F.col("_first"))
     by_doc = later.groupBy("doc_id").agg(F.collect_set("h1").alias("_repeated"))
-    rest = [c for c in docs.columns if c != "text"]
-    out = docs.join(by_doc, "doc_id", "left").select(*rest, "text", "_repeated", F.col("doc_id").isNotNull().alias("_known"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    cleaned = out.mapInArrow(partial(_cleaned, sentences=sentences, words=words), f"{kinds}, text string, n_sentences long, n_removed long, words_removed long")
-    return cleaned.select(*docs.columns, "n_sentences", "n_removed", "words_removed")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", *names)]
+    kept = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)])
+    out = kept.join(by_doc, "doc_id", "left").withColumn("_known", F.col("doc_id").isNotNull())
+    out = out.select("doc_id", *[f"_{i}" for i in range(len(rest))], "text", "_repeated", "_known")
+    kinds = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
+    cleaned = out.mapInArrow(partial(_cleaned, sentences=sentences, words=words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}{kinds}, text string, n_sentences long, n_removed long, words_removed long")
+    back = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"_{i}").alias(c) for i, c in enumerate(rest)}
+    return cleaned.select(*[back[c] for c in docs.columns if c in back], *[F.col(a).alias(b) for a, b in zip(("n_sentences", "n_removed", "words_removed"), names)])
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
