@@ -1,7 +1,7 @@
 """Operator 6: rule bitmask ledger.
 
-Every rule is evaluated once for each document; the ledger keeps the failure
-bits beside the measurements.  A policy is a version and a mask of rules, so
+Every rule is evaluated once for each document; the ledger is a table that keeps
+the failure bits beside the measurements and the version of the rules.  A policy is a version and a mask of rules, so
 new policies and ablations read the ledger and never the texts.
 
 Null, empty and blank texts have no words: they fail ``few_words`` only.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import table
+from strataflow.llm.common import stored, table
 
 #: Rule by bit: a column expression that is true on failure.
 RULES = {
@@ -29,6 +29,8 @@ RULES = {
     "exclamations": "2 * n_bangs > n_words",
     "capitals": "2 * n_capitals > word_chars",
 }
+#: Changes with the rules; ledgers of other rule sets aren't read.
+RULE_SET = "1"
 BASE = ("few_words", "repeated_windows")
 #: Versioned policies; the last is the one in force.
 POLICIES = {"1": BASE, "2": tuple(RULES)}
@@ -75,15 +77,19 @@ def _measured(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *MEASURES])
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, measurements and ``failed``, the bits of the rules that failed."""
+def ledger(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, measurements, ``failed`` (the bits of the rules that failed) and rule_set, stored at ``path`` (None: in the shared folder)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(_measured, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
     failed = bits[0]
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
-    return rows.withColumn("failed", failed)
+    rows = rows.withColumn("failed", failed).withColumn("rule_set", F.lit(RULE_SET))
+    if path is None:
+        return stored(rows, "quality-ledger")
+    rows.write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path).filter(F.col("rule_set") == RULE_SET)
 
 
 def apply_policy(rows: DataFrame, version: str) -> DataFrame:
