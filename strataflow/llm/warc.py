@@ -28,8 +28,8 @@ from strataflow.llm.common import new_path, stored, table
 
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records in a file; one file is read in one piece.
-RECORDS_PER_FILE = 1000
+#: Records in a file, which is read in one piece; larger payloads get a file each.
+RECORDS_PER_FILE, LARGE = 1000, 256_000
 #: Repeated payloads (about 70 bytes each) that are sent to all tasks; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
 DATE = "2024-01-01T00:00:00Z"
@@ -60,7 +60,7 @@ def revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
 
 
 def records(pages: DataFrame, at_least: int = 0) -> DataFrame:
-    """One column ``value``: each row's record up to its end mark."""
+    """``value``, each row's record up to its end mark, and ``large``: its payload has LARGE bytes or more."""
     p = revisits(pages, at_least)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     again = F.col("refers_to").isNotNull()
@@ -75,11 +75,14 @@ def records(pages: DataFrame, at_least: int = 0) -> DataFrame:
         F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("_block").cast("string"),
         F.lit(END), F.col("_block"),
-    ).alias("value"))
+    ).alias("value"), (F.col("payload_bytes") >= LARGE).alias("large"))
 
 
 def write_archives(pages: DataFrame, path: str, at_least: int = 0) -> None:
-    records(pages, at_least).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    r = records(pages, at_least)
+    r.filter(~F.col("large")).select("value").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(f"{path}/small")
+    if not pages.filter(F.octet_length("html") >= LARGE).isEmpty():
+        r.filter("large").select("value").write.option("lineSep", END).option("maxRecordsPerFile", 1).text(f"{path}/large")
 
 
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -203,7 +206,7 @@ def _salvaged(batches, payloads: bool):
 
 def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of all files under ``path`` (gaps: gap_reason is set); without ``payloads`` these are checked only."""
-    files = spark.read.format("binaryFile").load(path).filter(~F.col("path").rlike("/[_.][^/]*$")).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(~F.col("path").rlike("/[_.][^/]*$")).select("content")
     held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # a row is a file
     try:
