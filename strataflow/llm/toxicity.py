@@ -57,12 +57,11 @@ _ASCII = "".join(FOLDING[i] for i in range(128)).encode().ljust(256, b" ")
 
 
 def fold(text: str | None) -> str:
-    """Folded words between single or repeated spaces, with a space at both ends."""
+    """Folded words with a space between any two and at both ends, whatever stood between them."""
     if not text:
         return " "
-    if text.isascii():
-        return f" {text.encode().translate(_ASCII).decode()} "
-    return f" {text.lower().translate(FOLDING)} "
+    folded = text.encode().translate(_ASCII).decode() if text.isascii() else text.lower().translate(FOLDING)
+    return f" {' '.join(folded.split())} "
 
 
 def terms(word: str):
@@ -145,7 +144,7 @@ class Scorer:
         import ahocorasick
 
         weights = dict(self.lexicon)
-        for phrase in self.exceptions:
+        for phrase in [p + s for p in self.exceptions for s in ("", "s", "es")]:  # with their plurals
             text = fold(phrase)
             # an exception takes back what its words add
             if (held := sum(self.lexicon.get(t, 0) for w in text.split() for t in terms(w))) > 0:
@@ -205,7 +204,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
         part = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").collect()
+    # rows that repeat a doc_id count once
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     return [r["text"] or "" for r in rows if r["toxic"] == 1], [r["text"] or "" for r in rows if r["toxic"] == 0]
 
 
