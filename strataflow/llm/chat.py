@@ -2,7 +2,9 @@
 
 A layout is known by the SHA-256 of its nested field paths.  The fingerprint
 selects a declarative mapping (paths of turns, roles and texts) to canonical
-turns.  Tables are fingerprinted by their schema, JSON records one by one.
+turns.  Tables are fingerprinted by their schema, JSON records one by one; fields
+that no layout maps (ids, names of speakers) don't enter a fingerprint, and of
+several layouts that a record holds the one with the most fields is taken.
 
 Turns go between marks; control strings inside roles and texts get an escape
 after their first character, and reading back takes it out.  The loss mask
@@ -63,23 +65,31 @@ def field_paths(schema: T.StructType) -> str:
     return ",".join(sorted(walk(schema, "")))
 
 
-def json_shape(value):
-    """Of a JSON text column: its shape, with scalar types removed (their nulls and numbers don't matter)."""
-    shape = F.schema_of_variant(F.try_parse_json(value))
-    return F.regexp_replace(shape, r"\b(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\(\d+,\d+\)): ?|: (STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\(\d+,\d+\))", "")
+def mapped_paths(value):
+    """Of a variant column: the field paths of the largest layout that the record holds, however many other fields it has (null: none)."""
+    scalar = lambda path: F.coalesce(~F.schema_of_variant(F.try_variant_get(value, f"$.{path}", "variant")).rlike("^(OBJECT|ARRAY)"), F.lit(False))
 
+    def turns(where, *fields):
+        # the elements' shapes come merged, their fields in the order of names
+        shape = F.schema_of_variant(F.try_variant_get(value, f"$.{where}", "variant"))
+        return F.coalesce(shape.rlike(r"^ARRAY<OBJECT<(.*, )?" + ": .*, ".join(sorted(fields)) + ": "), F.lit(False))
 
-def _shape_of(paths: str) -> str:
-    names = paths.split(",")
-    if "[]." not in paths:
-        return "OBJECT<" + ", ".join(names) + ">"
-    outer = names[0].split("[].")[0]
-    return f"OBJECT<{outer}: ARRAY<OBJECT<" + ", ".join(n.split("[].")[1] for n in names) + ">>>"
+    found = F.lit(None).cast("string")
+    for paths, how in sorted(LAYOUTS.values(), key=lambda layout: layout[0].count(",")):
+        if isinstance(how, tuple):
+            holds = turns(*how)
+        else:
+            holds = scalar(how[0][1])
+            for _, path in how[1:]:
+                holds = holds & scalar(path)
+        found = F.when(holds, F.lit(paths)).otherwise(found)
+    return found
 
 
 def record_turns(records: DataFrame, conv_id: str = "conv_id", json: str = "json") -> DataFrame:
     """JSON records of any known layout to rows conv_id, turn, role, text, layout; unknown layouts give one row without role and text."""
-    r = records.select(F.col(conv_id).alias("conv_id"), F.col(json).alias("_json")).withColumn("_print", F.sha2(F.coalesce(json_shape(F.col("_json")), F.lit("")), 256))
+    r = records.select(F.col(conv_id).alias("conv_id"), F.col(json).alias("_json")).withColumn("_value", F.try_parse_json("_json"))
+    r = r.withColumn("_print", F.sha2(mapped_paths(F.col("_value")), 256))
     turns, layout = F.lit(None).cast("array<struct<role:string,text:string>>"), F.lit("unknown")
 
     def renamed(role, text):
@@ -93,7 +103,7 @@ def record_turns(records: DataFrame, conv_id: str = "conv_id", json: str = "json
         else:
             parsed = F.from_json("_json", ", ".join(f"`{p}` string" for _, p in how))
             made = F.filter(F.array(*[F.struct(F.lit(role).alias("role"), parsed[p].alias("text")) for role, p in how]), lambda m: (m["role"] == TRAINED_ROLE) | (F.coalesce(m["text"], F.lit("")) != ""))
-        this = F.col("_print") == fingerprint(_shape_of(paths))
+        this = F.col("_print") == fingerprint(paths)
         turns, layout = F.when(this, made).otherwise(turns), F.when(this, F.lit(name)).otherwise(layout)
     out = r.select("conv_id", layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "_m"))
     role = F.col("_m.role")
