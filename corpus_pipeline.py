@@ -6,8 +6,10 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from strataflow.llm import decontamination, jaccard_join, language, mixing, substring_dedup
-from strataflow.llm.common import stored, table
+from strataflow.llm.common import fresh, stored, table
 
 #: Documents whose best language has a lower mean posterior are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -15,9 +17,10 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def identify_language(spark, docs, sf_dir):
     """Rejects documents of no certain language; ``lang`` becomes the predicted one."""
-    found = language.identify(docs, language.fit(docs), tuple(docs.columns))
-    kept = found.filter(f"lang_pred <> '{language.UNKNOWN}' AND score >= {LEAST_LANGUAGE_SCORE}")
-    return kept.drop("lang", "score").withColumnRenamed("lang_pred", "lang").select(docs.columns)
+    predicted, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    found = language.identify(docs, language.fit(docs), tuple(docs.columns), (predicted, score))
+    kept = found.filter((F.col(predicted) != language.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.col(predicted)).select(docs.columns)
 
 
 def drop_near_copies(spark, docs, sf_dir):
@@ -27,11 +30,11 @@ def drop_near_copies(spark, docs, sf_dir):
 
 def drop_repeated_spans(spark, docs, sf_dir):
     """Repeated passages leave the texts; documents of which nothing is left go."""
-    from pyspark.sql import functions as F
-
-    cleaned = substring_dedup.remove_repeated_spans(docs)
-    cleaned = cleaned.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_sentences")))
-    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    names = tuple(fresh(c, docs.columns) for c in ("n_sentences", "n_removed", "words_removed"))
+    cleaned = substring_dedup.remove_repeated_spans(docs, names=names)
+    removed = F.col(names[1])
+    cleaned = cleaned.filter((removed == 0) | (removed < F.col(names[0])))
+    return cleaned.withColumn("n_chars", F.when(removed > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark, docs, sf_dir):
