@@ -42,21 +42,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import ByteWords, array_slices, arrow_batches, stored, table, whole_groups
+from strataflow.llm.common import ByteWords, array_slices, arrow_batches, stored, table, tidied, whole_groups
 from strataflow.llm.components import components
 
 WIDTH, PERCENT = 4, 85
 #: Shingles and documents of a chunk, and bytes of text of a bucket.
-CHUNK, CHUNK_DOCS, BUCKET_BYTES = 1_000_000, 60_000, 12_000_000
+CHUNK, CHUNK_DOCS, BUCKET_BYTES = 500_000, 60_000, 6_000_000
 #: Bytes of a shingle in a bucket, besides the bits that name the bucket.
 KEY_BYTES = 5
 SEVERAL = 0xFFFF
 #: Classes of a block of a meeting; meetings up to SMALL give pairs.
 MEETING, SMALL = 2048, 16
 #: Sets and elements of a block of a neighbourhood, and cells of the table that says which probe has which element.
-BLOCK_SETS, BLOCK_ELEMENTS, CELLS = 512, 400_000, 32_000_000
+BLOCK_SETS, BLOCK_ELEMENTS, CELLS = 512, 400_000, 16_000_000
 #: Bytes of an Arrow batch of packed rows or sets.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 #: Ids (16 bytes each) that are sent to all tasks to find texts; more are joined by a shuffle.
 MOST_BROADCAST = 300_000
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(8)]
@@ -162,6 +162,7 @@ def _batch(rows: list, id_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _types(id_type))], _COLUMNS)
 
 
+@tidied
 def _posted(batches, width: int, bits: int):
     part, k = TaskContext.get().partitionId(), 0
     ids, sets, held, id_type = [], [], 0, None
@@ -195,6 +196,7 @@ def _posted(batches, width: int, bits: int):
         yield from out()
 
 
+@tidied
 def _counted(batches):
     """Answers each chunk with the counts of those shingles of a bucket that more than one document has."""
     for batch in whole_groups(batches, ["at"]):
@@ -229,6 +231,7 @@ def _counted(batches):
                 yield _batch(rows, id_type)
 
 
+@tidied
 def _prefixes(batches, percent: int):
     """Of each chunk its documents, and the met shingles among the first of its sets in global order."""
     names = ["doc_id", "n", "node", "token", "pos", "df", "sign"]
@@ -336,6 +339,7 @@ def _forest(rows, left, right, percent: int):
     return out
 
 
+@tidied
 def _neighbours(batches, percent: int):
     """Edges (u, v) between classes that meet and may reach the threshold."""
     for batch in whole_groups(batches, ["token", "a", "b"]):
@@ -502,6 +506,7 @@ def _least_labels(links: np.ndarray) -> np.ndarray:
         label = new
 
 
+@tidied
 def _joined(batches, percent: int):
     """node, root, others, whole: the least class of the tile that links lead to, documents linked with, and whether the tile is all of the neighbourhood."""
     for batch in whole_groups(batches, ["component", "a", "b"]):
@@ -532,6 +537,7 @@ def _joined(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["node", "root", "others", "whole"])
 
 
+@tidied
 def _sets(batches, width: int):
     """The sets of texts; of those with a wanted node only sets of that node."""
     names = batches_names = None

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import held_out, powers, table, text_slices
+from strataflow.llm.common import held_out, powers, table, text_slices, tidied
 
 #: Bound of the labelled sample that is fitted: about so many documents of each language, by hash of their ids.
 SAMPLE_PER_LANGUAGE = 250
@@ -33,9 +33,9 @@ CHAIN = 64
 TABLE_BITS = 17
 STEPS = 30
 #: Words, and characters of words, whose emissions a task keeps at hand; beyond it starts anew.
-MEMO, MEMO_CHARS = 200_000, 4_000_000
-#: Characters whose features are made at once.
-SLICE_CHARS = 200_000
+MEMO, MEMO_CHARS = 100_000, 2_000_000
+#: Characters whose features are made at once, bytes of text and chains that are labelled at once.
+SLICE_CHARS, SLICE_BYTES, SLICE_CHAINS = 200_000, 500_000, 1024
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -157,10 +157,10 @@ class Labeller:
         lengths = np.array([len(t) for t in texts], np.int64)
         flat = self.ids([w for t in texts for w in t])
         text, first, size = chains(lengths)
-        for i in range(0, len(text), 4096):
-            f, s = first[i : i + 4096], size[i : i + 4096]
+        for i in range(0, len(text), SLICE_CHAINS):
+            f, s = first[i : i + SLICE_CHAINS], size[i : i + SLICE_CHAINS]
             at = np.minimum(f[:, None] + np.arange(s.max()), len(flat) - 1)
-            yield text[i : i + 4096], f, s, forward_backward(self.emissions[flat[at]], s, self.moves)[0]
+            yield text[i : i + SLICE_CHAINS], f, s, forward_backward(self.emissions[flat[at]], s, self.moves)[0]
 
     def documents(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         split = [words_of(t) for t in texts]
@@ -248,16 +248,14 @@ def _sent(spark, labeller: Labeller):
     return spark.sparkContext.broadcast((labeller.languages, labeller.weights, labeller.moves))
 
 
+@tidied
 def _predicted(batches, model):
     labeller = Labeller(*model.value)
     for batch in batches:
-        languages, scores = [], []
-        for _, texts in text_slices(batch):
-            found = labeller.documents(texts)
-            languages += found[0]
-            scores += found[1]
-        rest = [batch.column(i) for i in range(batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        for at, texts in text_slices(batch, chars=SLICE_BYTES):
+            languages, scores = labeller.documents(texts)
+            rest = batch.slice(at, len(texts)).columns
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, labeller: Labeller, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import ByteWords, array_slices, powers, table
+from strataflow.llm.common import ByteWords, array_slices, powers, table, tidied
 
 SENTENCES = 3
 WORDS = 20
@@ -96,6 +96,7 @@ class Sentences:
         return b"".join(self.words.data[at[x] : at[y]].tobytes() for x, y in zip(a, b)).decode("utf-8", "replace")
 
 
+@tidied
 def _span_rows(batches, sentences: int, words: int):
     for batch in batches:
         ids = batch.column("doc_id")
@@ -117,6 +118,7 @@ def span_rows(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -
     return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(partial(_span_rows, sentences=sentences, words=words), f"h1 long, h2 long, doc_id {kind}")
 
 
+@tidied
 def _cleaned(batches, sentences: int, words: int):
     for batch in batches:
         rest = [n for n in batch.schema.names if n not in ("text", "_repeated", "_known")]
