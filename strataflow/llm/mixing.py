@@ -24,6 +24,8 @@ SHARE = 1.5
 MOST_EPOCHS = 2
 BLOCK_WORDS = 64
 SLOTS_PER_SHARD = 4096
+#: Slots that one task makes.
+SLOTS_PER_TASK = 65_536
 ROUNDS = 16
 SEED = 20240607
 #: Documents of a source are laid out bucket after bucket, so that no task sums a whole source.
@@ -108,6 +110,8 @@ def slots(sources: DataFrame, block_words=BLOCK_WORDS, per_shard=SLOTS_PER_SHARD
     # settled counts may be long: cut them so that no row spreads over more than a shard's slots
     counts = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / per_shard))))
     counts = counts.withColumn("first", F.col("first") + F.col("part") * per_shard).withColumn("n", F.least(F.col("n") - F.col("part") * per_shard, F.lit(per_shard)))
+    # a source's shards come from one window; slots and permutations are made by as many tasks as they need
+    counts = counts.repartition(max(1, -(-total // SLOTS_PER_TASK)), "source_id", "shard", "part")
     each = counts.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     each = each.withColumn("place", F.pmod("slot", "blocks")).withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
     # the last, shorter block of a source keeps its place, which makes the words of any first slots known
@@ -131,7 +135,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS,
     b = F.lit(block_words)
     parts = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
     parts = parts.select("_row", "doc_id", "source", F.col("_source_id").alias("source_id"), "block", "start", F.greatest(F.col("start") - F.col("block") * b, F.lit(0)).alias("from"), F.least(F.col("start") + F.col("size") - F.col("block") * b, b).alias("to"))
-    mix = parts.join(slots(sources, block_words, per_shard, seed), ["source_id", "block"])
+    # slots are spread from few rows, which must not be taken for few slots and sent to all tasks
+    mix = parts.hint("merge").join(slots(sources, block_words, per_shard, seed), ["source_id", "block"])
     mix = mix.withColumn("n_words", F.least("to", "words") - F.col("from")).filter("n_words > 0")
     mix = mix.select("_row", "shard", "slot", "source", "doc_id", (F.col("block") * b + F.col("from") - F.col("start")).alias("first_word"), "n_words")
     took = mix.groupBy("_row").agg(F.sum("n_words").alias("taken"))
