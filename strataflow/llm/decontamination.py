@@ -10,7 +10,8 @@ short items are found inside documents of any length.
 DataFrame functions only.  Words are lower-case runs of letters and digits.  A
 text of one to four words has one shingle, all its words; null and empty texts
 have none and neither contain nor are contained.  Repeated shingles count once,
-rows that repeat a doc_id or item_id are matched by it, null ids never match.
+rows that repeat a doc_id or item_id are one document or item with the shingles
+of all; null ids never match.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +27,15 @@ WIDTH = 5
 CONTAINMENT = 0.8
 #: (items with fewer shingles than this, sketch size, matches that make a candidate)
 PARTITIONS = ((32, 16, 1), (256, 20, 2), (2048, 24, 2), (math.inf, 32, 3))
-#: Rows of sketches that are sent to all tasks (about 24 bytes each); more are joined by a shuffle.
+#: Rows of sketches, item shingles or ids (about 24 bytes each) that are sent to all tasks; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 
+def few(df: DataFrame, n: int) -> DataFrame:
+    """The rows to be joined, sent to all tasks if there are at most MOST_BROADCAST of them."""
+    return F.broadcast(df) if n <= MOST_BROADCAST else df
+
+
 def shingle_words(text):
     clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
@@ -57,24 +63,26 @@ def sketches(items: DataFrame) -> DataFrame:
 def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, n_shingles of the item, n_shared, for each item of which the document holds the share ``containment``."""
     index = stored(sketches(items), "benchmark-sketches")
-    least = index.select("item_id", "needs", F.explode("sketch").alias("h"))
-    whole = index.select("item_id", "shingles", "size")
-    if index.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0] <= MOST_BROADCAST:
-        least = F.broadcast(least)
+    n_sketch, n_shingles = index.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    least = few(index.select("item_id", "needs", F.explode("sketch").alias("h")), n_sketch)
+    whole = few(index.select("item_id", "size", F.explode("shingles").alias("h")), n_shingles)
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    own = lambda t: t.select("doc_id", shingle_words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(shingles(F.col("w")))).alias("h"))
     seen = texts.select("doc_id", shingle_words(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(F.col("w"))).alias("h"))
-    pairs = seen.join(least, "h").groupBy("doc_id", "item_id", "needs").count().filter(F.col("count") >= F.col("needs"))
-    asked = pairs.join(whole, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "size", "shingles")).alias("items"))
-    found = texts.join(asked, "doc_id").select("doc_id", "items", shingle_words(F.col("text")).alias("w")).select("doc_id", "items", shingles(F.col("w")).alias("own"))
-    shared = F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), x["size"].alias("n_shingles"), F.size(F.array_intersect("own", x["shingles"])).alias("n_shared")))
-    # of rows that repeat a doc_id, the one with the most shared shingles counts
-    each = found.select("doc_id", F.explode(shared).alias("x")).select("doc_id", "x.*").filter(F.col("n_shared") >= F.col("n_shingles") * containment)
-    return each.groupBy("doc_id", "item_id").agg(F.max("n_shingles").cast("long").alias("n_shingles"), F.max("n_shared").cast("long").alias("n_shared"))
+    # repeated shingles of a document may make a candidate more, which the exact count leaves out
+    pairs = stored(seen.join(least, "h").groupBy("doc_id", "item_id", "needs").count().filter(F.col("count") >= F.col("needs")).select("doc_id", "item_id"), "benchmark-candidates")
+    asked = stored(pairs.select("doc_id").distinct(), "benchmark-asked")
+    # only the texts of candidates are read again; shingles of document and item meet row by row
+    held = own(texts.join(few(asked, asked.count()), "doc_id", "left_semi")).distinct()
+    wanted = pairs.join(whole, "item_id")
+    shared = wanted.join(held, ["doc_id", "h"]).groupBy("doc_id", "item_id", F.col("size").cast("long").alias("n_shingles")).agg(F.count("*").alias("n_shared"))
+    return shared.filter(F.col("n_shared") >= F.col("n_shingles") * containment)
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The documents that contain no item."""
-    return docs.join(contained_items(docs, items, containment).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The documents that contain no item; rows without a doc_id stay."""
+    gone = stored(contained_items(docs, items, containment).select("doc_id").distinct(), "benchmark-gone")
+    return docs.join(few(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
