@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import new_path, table
+from strataflow.llm.common import new_path, stored, table
 
 TOKENIZER = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -115,7 +115,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, cache: str | None = N
     made = missing.select("digest", "text").mapInArrow(partial(_encode, path=path), "digest string, n_tokens long")
     made.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
     sizes = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"))
-    out = sizes.join(stored_counts(), "digest", "left")
+    # plain tables on both sides: a digest that many rows have is split
+    out = sizes.join(stored(stored_counts(), "token-counts-now"), "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
