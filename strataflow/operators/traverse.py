@@ -1,9 +1,9 @@
 """Graph traversal (TRV-01, TRV-02, TRV-04 to TRV-08, GRA-11).
 
-Provenance edges join kinds in one direction only, commit to container in at
-most five steps, so their closure is a chain of joins.  Other graphs are walked
-level by level; each level is written to the shared checkpoint folder, which
-cuts the lineage and survives lost executors.
+Where the longest path is known, as between the kinds of the provenance model, a
+closure is a chain of joins.  Other graphs are walked level by level until no
+node is new; each level is written to the shared checkpoint folder, which cuts
+the lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -13,19 +13,24 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longest path of a provenance graph.
-PROVENANCE_DEPTH = 5
+#: Steps after which a walk is given up with an error.
+MOST_STEPS = 1000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataflow-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strataflow-"))
     return df.checkpoint()
 
 
-def descendants(edges: DataFrame, start: DataFrame, depth: int = PROVENANCE_DEPTH) -> DataFrame:
-    """(start, node): nodes within ``depth`` steps; repeated nodes are dropped at every step."""
+def descendants(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, node): all nodes below, or those within ``depth`` steps; repeated nodes are dropped at every step."""
+    if depth is None:
+        return closure(edges, start)
     hop = edges.select(F.col("src").alias("node"), "dst").distinct()
     frontier = start.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
     levels = []
@@ -38,11 +43,11 @@ def descendants(edges: DataFrame, start: DataFrame, depth: int = PROVENANCE_DEPT
     return out.distinct()
 
 
-def ancestors(edges: DataFrame, start: DataFrame, depth: int = PROVENANCE_DEPTH) -> DataFrame:
+def ancestors(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     return descendants(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, depth)
 
 
-def closure(edges: DataFrame, start: DataFrame | None = None, most: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame | None = None, most: int = MOST_STEPS) -> DataFrame:
     """(start, node) for any graph, cyclic ones too; the start is included only if a cycle leads back."""
     hop = edges.select(F.col("src").alias("node"), "dst").distinct()
     seeds = edges.select(F.col("src").alias("id")).distinct() if start is None else start.select("id").distinct()
@@ -73,18 +78,20 @@ def newest_parent(edges: DataFrame, seq: DataFrame) -> DataFrame:
     return edges.join(seq, edges["src"] == seq["id"], "left").withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("dst", "src")
 
 
-def upstream_paths(edges: DataFrame, start: DataFrame, goal: DataFrame, seq: DataFrame, most: int = 64) -> DataFrame:
+def upstream_paths(edges: DataFrame, start: DataFrame, goal: DataFrame, seq: DataFrame, most: int = MOST_STEPS) -> DataFrame:
     """(id, path): shortest path up to a goal node, origin first; among equals the newest origin."""
     up = edges.select(F.col("dst").alias("at"), F.col("src").alias("next")).distinct()
     rank = seq.select(F.col("id").alias("at"), "seq")
     goals = goal.select(F.col("id").alias("at"), F.lit(True).alias("goal"))
     paths = start.select("id", F.col("id").alias("at"), F.array("id").alias("path"))
-    done = []
-    for _ in range(most):
+    done = [start.select("id", F.array("id").alias("path")).limit(0)]
+    for step in range(most + 1):
         w = Window.partitionBy("id").orderBy(F.col("seq").desc_nulls_last(), "at")
         level = checkpointed(paths.join(goals, "at", "left").join(rank, "at", "left"))
         if level.isEmpty():
             break
+        if step == most:
+            raise ValueError(f"paths of over {most} steps")
         hit = level.filter("goal").withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("id", "path")
         done.append(hit)
         seen = Window.partitionBy("id", "at").orderBy(F.col("path"))
