@@ -115,3 +115,36 @@ def test_labels(spark):
     labels = spark.createDataFrame([(1, "r", 1, "a", "2"), (2, "r", 1, "zz", "1"), (3, "r", 1, "b", "1")], "label_id int, repo string, pos long, name string, version string")
     pins = spark.createDataFrame([("r", 0, "b", "1"), ("r", 1, "a", "2.0"), ("r", 1, "b", "1")], "repo string, pos long, name string, version string")
     assert {r.label_id: (r.version, r.excluded) for r in history.resolve_labels(labels, pins).collect()} == {1: ("2.0", None), 2: (None, "not_in_lock"), 3: ("1", "already_present")}
+
+
+def test_reports_of_several_files(spark, tmp_path):
+    def sarif(score):
+        rule = {"id": "R1", "properties": {"security-severity": score}}
+        return {"runs": [{"tool": {"driver": {"name": "t", "rules": [rule]}}, "results": [{"ruleId": "R1", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": f"f{score}"}}}]}]}]}
+
+    (tmp_path / "s").mkdir()
+    for score in ("9.5", "1.0"):
+        (tmp_path / "s" / f"{score}.json").write_text(json.dumps(sarif(score)))
+    assert {(r.file, r.severity) for r in reports.sarif_findings(spark, str(tmp_path / "s")).collect()} == {("f9.5", "critical"), ("f1.0", "low")}
+    nested = {"name": "c100", "version": "1", "purl": "pkg:npm/c100@1"}
+    for i in range(99, 0, -1):
+        nested = {"name": f"c{i}", "version": "1", "purl": f"pkg:npm/c{i}@1", "components": [nested]}
+    (tmp_path / "c.json").write_text(json.dumps({"components": [nested]}))
+    assert reports.cyclonedx_packages(spark, str(tmp_path / "c.json")).count() == 100
+    v = lambda purl: {"VulnerabilityID": "CVE-1", "PkgName": "a", "InstalledVersion": "1", "PkgIdentifier": {"PURL": purl}}
+    (tmp_path / "t.json").write_text(json.dumps({"Results": [{"Type": "pip", "Vulnerabilities": [v("not a purl"), v("pkg:pypi/a@1")]}]}))
+    assert {r.PURL for r in reports.trivy_findings(spark, str(tmp_path / "t.json")).collect()} == {None, "pkg:pypi/a@1"}
+    image = {"type": "image", "metadata": {"imageID": "sha256:i", "manifestDigest": "sha256:m"}}
+    (tmp_path / "y.json").write_text(json.dumps({"source": image, "artifacts": [{"name": "a", "version": "1", "purl": "pkg:pypi/a@1"}]}))
+    assert reports.syft_packages(spark, str(tmp_path / "y.json")).first()["image_digest"] == "sha256:i"
+
+
+def test_lock_files_of_several_ages():
+    read = lambda name, text: [p[:2] for p in lockfiles.read_pins(name, text)]
+    assert read("pnpm-lock.yaml", "packages:\n  /@a/b/1.0.0:\n    x: 1\n  /c@2.0.0(d@3):\n    x: 1\n  registry.npmjs.org/e/1.0.0:\n    x: 1\n  file:f:\n    x: 1\n") == [("@a/b", "1.0.0"), ("c", "2.0.0")]
+    assert read("yarn.lock", '"l@link:./l":\n  version "1.0.0"\n\n"p@patch:p@npm%3A1.0.0#x":\n  version: 1.0.0\n\na@^1, a@^2:\n  version "2.0.0"\n  dependencies:\n    version "9"\n') == [("p", "1.0.0"), ("a", "2.0.0")]
+    go = "module m.io/x\n\ngo 1.21\n\nrequire a.io/b v1.0.0 // indirect\n\nrequire (\n\tc.io/d v2.0.0\n\ta.io/b v1.1.0\n)\n\nreplace (\n\tc.io/d v2.0.0 => e.io/f v3.0.0\n)\nexclude g.io/h v4.0.0\n"
+    assert lockfiles.go_mod(go) == [("c.io/d", "v2.0.0", 7, 7), ("a.io/b", "v1.1.0", 8, 8)]
+    assert read("go.sum", "a.io/b v1.9.0 h1:x\na.io/b v1.10.0 h1:y\na.io/b v1.11.0/go.mod h1:z\n") == [("a.io/b", "v1.10.0")]
+    assert lockfiles.read_pins("package-lock.json", '{\n  "packages": {\n    "node_modules/a": {\n      "version": "1.0.0",\n      "dependencies": {\n        "version": "x"\n      }\n    }\n  }\n}') == [("a", "1.0.0", 3, 2)]
+    assert read("package-lock.json", '{"dependencies": {"a": {"version": "1", "dependencies": {"b": {"version": "2"}}}}}') == [("a", "1"), ("b", "2")]
