@@ -132,15 +132,15 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, correct: str, total: str, r
     Clusters are summed first; in each round they get Poisson weights from a hash
     of round and cluster, so every round is a sum and clusters are never gathered.
     """
-    sums = rows.groupBy(cluster).agg(F.sum(correct).alias("c"), F.sum(total).alias("t"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("round")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    sums = rows.select(F.col(cluster).alias("_key"), F.col(correct).alias("_correct"), F.col(total).alias("_total")).groupBy("_key").agg(F.sum("_correct").alias("_c"), F.sum("_total").alias("_t"))
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_key"), F.col("round")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     limits, p, edge = [], math.exp(-1), 0.0
     for k in range(8):
         edge += p / math.factorial(k)
         limits.append(edge)
     weight = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x < u))
     each = sums.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("w", weight)
-    means = each.groupBy("round").agg((F.sum(F.col("c") * F.col("w")) / F.nullif(F.sum(F.col("t") * F.col("w")), F.lit(0))).alias("m")).filter("m IS NOT NULL")
+    means = each.groupBy("round").agg((F.sum(F.col("_c") * F.col("w")) / F.nullif(F.sum(F.col("_t") * F.col("w")), F.lit(0))).alias("m")).filter("m IS NOT NULL")
     s = means.agg(F.array_sort(F.collect_list("m")).alias("s")).withColumn("n", F.size("s"))
     at = lambda i: F.get("s", i.cast("int"))
     return s.select(at(F.floor(F.col("n") * 0.025)).alias("low"), at(F.greatest(F.floor(F.col("n") * 0.975) - 1, F.lit(0))).alias("high"))

@@ -21,6 +21,8 @@ def test_sweep_and_bootstrap(spark):
     assert best["threshold"] == 0.5 and best["tp"] == 49 and best["fp"] == 1
     ci = ev.cluster_bootstrap(df.withColumn("one", F.lit(1)), "c", "truth", "one", 400).first()
     assert ci["low"] < 0.49 < ci["high"]
+    renamed = df.select(F.col("c").alias("t"), F.col("truth").alias("c"), F.lit(1).alias("w"))
+    assert ev.cluster_bootstrap(renamed, "t", "c", "w", 400).first() == ci
     low, high = ev.seeded_bootstrap(np.r_[np.zeros(50), np.ones(50)])
     assert low < 0.5 < high
     assert ev.threshold_sweep(df.limit(0), "score", F.col("truth") == 1).count() == 0
