@@ -26,28 +26,28 @@ IMPLIED_BY_TOKEN = {"ImageField": ("pillow",)}
 ENTRYPOINT_FILES = ("Dockerfile", "Procfile", "*.sh", "*.ini", "*.cfg", "*.toml", "*.yml", "*.yaml", "*.conf", "gunicorn*.py", "uwsgi*")
 # Import names that differ from the distribution's.
 KNOWN_IMPORTS = {
-    "pyyaml": "yaml", "pillow": "PIL", "beautifulsoup4": "bs4", "python-dateutil": "dateutil", "pyjwt": "jwt", "psycopg2-binary": "psycopg2",
-    "psycopg-binary": "psycopg", "psycopg-c": "psycopg", "psycopg-pool": "psycopg_pool", "pycryptodome": "Crypto", "pycrypto": "Crypto",
-    "pycryptodomex": "Cryptodome", "scikit-learn": "sklearn", "opencv-python": "cv2", "protobuf": "google.protobuf google",
-    "google-cloud-storage": "google.cloud.storage", "google-auth": "google.auth", "google-api-core": "google.api_core",
-    "googleapis-common-protos": "google.api google.rpc", "grpcio": "grpc", "msgpack-python": "msgpack", "python-slugify": "slugify",
-    "django-filter": "django_filters", "djangorestframework": "rest_framework", "django-cors-headers": "corsheaders", "django-redis": "django_redis",
-    "django-rq": "django_rq", "social-auth-app-django": "social_django", "social-auth-core": "social_core", "django-debug-toolbar": "debug_toolbar",
-    "django-graphiql-debug-toolbar": "graphiql_debug_toolbar", "django-mptt": "mptt", "django-taggit": "taggit", "django-tables2": "django_tables2",
-    "django-timezone-field": "timezone_field", "drf-spectacular": "drf_spectacular", "drf-spectacular-sidecar": "drf_spectacular_sidecar",
-    "strawberry-graphql": "strawberry", "strawberry-graphql-django": "strawberry_django", "mkdocs-material": "material", "markdown": "markdown",
-    "pyotp": "pyotp", "fido2": "fido2", "whitenoise": "whitenoise", "django-compressor": "compressor", "django-stubs-ext": "django_stubs_ext",
-    "typing-extensions": "typing_extensions", "attrs": "attr attrs", "setuptools": "setuptools pkg_resources", "python-json-logger": "pythonjsonlogger",
-    "pynacl": "nacl", "pyopenssl": "OpenSSL", "python-multipart": "multipart", "zope-interface": "zope.interface zope", "zope-sqlalchemy": "zope.sqlalchemy",
-    "zope-deprecation": "zope.deprecation", "pyramid-jinja2": "pyramid_jinja2", "sqlalchemy-utils": "sqlalchemy_utils", "email-validator": "email_validator",
-    "python-magic": "magic", "readme-renderer": "readme_renderer", "webauthn": "webauthn", "b2sdk": "b2sdk", "pymacaroons": "pymacaroons",
-    "sentry-sdk": "sentry_sdk", "opensearch-py": "opensearchpy", "elasticsearch-dsl": "elasticsearch_dsl", "pip-api": "pip_api", "rfc3986": "rfc3986",
-    "pyparsing": "pyparsing", "importlib-metadata": "importlib_metadata", "importlib-resources": "importlib_resources",
-    "charset-normalizer": "charset_normalizer", "ua-parser": "ua_parser", "user-agents": "user_agents", "argon2-cffi": "argon2",
-    "argon2-cffi-bindings": "_argon2_cffi_bindings", "cffi": "cffi _cffi_backend", "markupsafe": "markupsafe", "jinja2": "jinja2", "werkzeug": "werkzeug",
-    "flask-babel": "flask_babel", "flask-sqlalchemy": "flask_sqlalchemy", "flask-wtf": "flask_wtf", "flask-assets": "flask_assets", "wtforms": "wtforms",
-    "celery-redbeat": "redbeat", "hiredis": "hiredis", "pretty-bad-protocol": "pretty_bad_protocol", "python-gnupg": "gnupg", "redis": "redis", "rq": "rq",
-    "mod-wsgi": "mod_wsgi",
+    "pyyaml": ("yaml",), "pillow": ("PIL",), "beautifulsoup4": ("bs4",), "python-dateutil": ("dateutil",), "pyjwt": ("jwt",), "psycopg2-binary": ("psycopg2",),
+    "psycopg-binary": ("psycopg",), "psycopg-c": ("psycopg",), "psycopg-pool": ("psycopg_pool",), "pycryptodome": ("Crypto",), "pycrypto": ("Crypto",),
+    "pycryptodomex": ("Cryptodome",), "scikit-learn": ("sklearn",), "opencv-python": ("cv2",), "protobuf": ("google.protobuf", "google"),
+    "google-cloud-storage": ("google.cloud.storage",), "google-auth": ("google.auth",), "google-api-core": ("google.api_core",),
+    "googleapis-common-protos": ("google.api", "google.rpc"), "grpcio": ("grpc",), "msgpack-python": ("msgpack",), "python-slugify": ("slugify",),
+    "django-filter": ("django_filters",), "djangorestframework": ("rest_framework",), "django-cors-headers": ("corsheaders",), "django-redis": ("django_redis",),
+    "django-rq": ("django_rq",), "social-auth-app-django": ("social_django",), "social-auth-core": ("social_core",), "django-debug-toolbar": ("debug_toolbar",),
+    "django-graphiql-debug-toolbar": ("graphiql_debug_toolbar",), "django-mptt": ("mptt",), "django-taggit": ("taggit",), "django-tables2": ("django_tables2",),
+    "django-timezone-field": ("timezone_field",), "drf-spectacular": ("drf_spectacular",), "drf-spectacular-sidecar": ("drf_spectacular_sidecar",),
+    "strawberry-graphql": ("strawberry",), "strawberry-graphql-django": ("strawberry_django",), "mkdocs-material": ("material",), "markdown": ("markdown",),
+    "pyotp": ("pyotp",), "fido2": ("fido2",), "whitenoise": ("whitenoise",), "django-compressor": ("compressor",), "django-stubs-ext": ("django_stubs_ext",),
+    "typing-extensions": ("typing_extensions",), "attrs": ("attr", "attrs"), "setuptools": ("setuptools", "pkg_resources"), "python-json-logger": ("pythonjsonlogger",),
+    "pynacl": ("nacl",), "pyopenssl": ("OpenSSL",), "python-multipart": ("multipart",), "zope-interface": ("zope.interface", "zope"), "zope-sqlalchemy": ("zope.sqlalchemy",),
+    "zope-deprecation": ("zope.deprecation",), "pyramid-jinja2": ("pyramid_jinja2",), "sqlalchemy-utils": ("sqlalchemy_utils",), "email-validator": ("email_validator",),
+    "python-magic": ("magic",), "readme-renderer": ("readme_renderer",), "webauthn": ("webauthn",), "b2sdk": ("b2sdk",), "pymacaroons": ("pymacaroons",),
+    "sentry-sdk": ("sentry_sdk",), "opensearch-py": ("opensearchpy",), "elasticsearch-dsl": ("elasticsearch_dsl",), "pip-api": ("pip_api",), "rfc3986": ("rfc3986",),
+    "pyparsing": ("pyparsing",), "importlib-metadata": ("importlib_metadata",), "importlib-resources": ("importlib_resources",),
+    "charset-normalizer": ("charset_normalizer",), "ua-parser": ("ua_parser",), "user-agents": ("user_agents",), "argon2-cffi": ("argon2",),
+    "argon2-cffi-bindings": ("_argon2_cffi_bindings",), "cffi": ("cffi", "_cffi_backend"), "markupsafe": ("markupsafe",), "jinja2": ("jinja2",), "werkzeug": ("werkzeug",),
+    "flask-babel": ("flask_babel",), "flask-sqlalchemy": ("flask_sqlalchemy",), "flask-wtf": ("flask_wtf",), "flask-assets": ("flask_assets",), "wtforms": ("wtforms",),
+    "celery-redbeat": ("redbeat",), "hiredis": ("hiredis",), "pretty-bad-protocol": ("pretty_bad_protocol",), "python-gnupg": ("gnupg",), "redis": ("redis",), "rq": ("rq",),
+    "mod-wsgi": ("mod_wsgi",),
 }
 _PREFIXES = ("python-", "py-", "django-", "flask-", "pyramid-")
 _DOTTED = re.compile(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)+", re.A)
@@ -55,7 +55,7 @@ _DOTTED = re.compile(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)+", re.A)
 
 def import_names(dist):
     """Import names of a normalised distribution name: the known ones, else guesses in order."""
-    known = F.create_map(*[F.lit(x) for kv in KNOWN_IMPORTS.items() for x in kv])
+    known = F.create_map(*[c for name, modules in KNOWN_IMPORTS.items() for c in (F.lit(name), F.array(*map(F.lit, modules)))])
     under = lambda c: F.replace(c, F.lit("-"), F.lit("_"))
     none = F.lit(None).cast("string")
     cut = [F.when(dist.startswith(p) & (F.length(dist) > len(p) + 2), under(F.substring(dist, F.lit(len(p) + 1), F.length(dist)))).otherwise(none) for p in _PREFIXES]
@@ -64,7 +64,7 @@ def import_names(dist):
     n = F.size(parts)
     rest = lambda k: F.array_join(F.slice(parts, F.lit(k + 1), F.greatest(n - k, F.lit(1))), "_")
     spaces = [F.when(n > 1, F.replace(dist, F.lit("-"), F.lit("."))), F.when(n > 1, F.concat(F.get(parts, F.lit(0)), F.lit("."), rest(1))), F.when(n > 2, F.concat(F.get(parts, F.lit(0)), F.lit("."), F.get(parts, F.lit(1)), F.lit("."), rest(2)))]
-    return F.coalesce(F.split(F.try_element_at(known, dist), " "), F.array_compact(F.array(under(dist), *cut, binary, *spaces)))
+    return F.coalesce(F.try_element_at(known, dist), F.array_compact(F.array(under(dist), *cut, binary, *spaces)))
 
 
 def imported_modules(text: str | None, strings: bool = True) -> list[str]:
