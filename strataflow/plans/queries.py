@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.functions.identity import canonical_purl, normalize_name, purl
+from strataflow.functions.identity import canonical_purl, dependency_id, digest, json_string, normalize_name, purl
 from strataflow.functions.names import AFFIXES, deglyph, squash, squat_normalize
 from strataflow.functions.severity import actionable, cvss3_base, severity_rank, verdict_of_rank, verdict_rank
+from strataflow.functions.signing import PAYLOAD_TYPE, sign
 from strataflow.functions.versions import semver_key
 from strataflow.operators import enrich, evaluation, history, traverse, typosquat
 from strataflow.plans.projection import Projection, sql
+from strataflow.sources import lockfiles
+from strataflow.sources.envelopes import verify
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -67,6 +70,51 @@ def semver_order(p: Projection) -> DataFrame:
     return a.join(b, "dep_key").select("dep_key", "other", F.when(F.col("k") < F.col("k2"), -1).when(F.col("k") > F.col("k2"), 1).otherwise(0).alias("cmp"))
 
 
+# files and envelopes ----------------------------------------------------------
+
+
+@query(sql("""SELECT dep_key, CASE WHEN dep_key % 10 >= 8 THEN 'x.io/' || name ELSE name END AS name, CASE WHEN dep_key % 10 >= 8 THEN 'v' || version ELSE version END AS version,
+[1, 2, 2, 2, 3, -1, 1, 2, 3, 1][(dep_key % 10 + 1)::INT] AS line FROM d_dep""", "d_dep"))
+def lock_file_formats(p: Projection) -> DataFrame:
+    """Each part as a lock file, of another format by its key, written and read back."""
+    n, v = "{n}", "{v}"
+    package = f'[[package]]\nname = "{n}"\nversion = "{v}"\n'
+    files = (
+        ("requirements.txt", f"# made\n{n}[all] == {v} ; python_version > '3'\n"), ("poetry.lock", package), ("uv.lock", package), ("Cargo.lock", package),
+        ("package-lock.json", f'{{\n  "packages": {{\n    "node_modules/a/node_modules/{n}": {{\n      "version": "{v}"\n    }}\n  }}\n}}'),
+        ("npm-shrinkwrap.json", f'{{"packages":{{"":{{"version":"0"}},"node_modules/{n}":{{"version":"{v}"}}}}}}'),
+        ("yarn.lock", f'"{n}@^1", "{n}@^2":\n  version "{v}"\n'), ("pnpm-lock.yaml", f"packages:\n\n  /{n}@{v}(peer@1.0.0):\n    x: 1\n"),
+        ("go.mod", f"module m.io/m\n\nrequire (\n\tx.io/{n} v{v} // indirect\n)\n"), ("go.sum", f"x.io/{n} v0.0.1 h1:a=\nx.io/{n} v{v} h1:b=\nx.io/{n} v99.0.0/go.mod h1:c=\n"),
+    )
+    kind = (F.col("dep_key") % len(files) + 1).cast("int")
+    path, text = (F.element_at(F.array(*[F.lit(f[i]) for f in files]), kind) for i in (0, 1))
+    text = F.replace(F.replace(text, F.lit(n), F.col("name")), F.lit(v), F.col("version"))
+    return lockfiles.pins(p.deps().select("dep_key", path.alias("path"), text.alias("text"))).select("dep_key", "name", "version", "line")
+
+
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event_id % 5 = 0 THEN 'untrusted keyid other' WHEN event_id % 11 = 0 THEN 'missing signature'
+WHEN event_id % 7 = 0 THEN 'signature mismatch' WHEN event_id % 13 = 0 THEN 'malformed payload: unexpected fields' ELSE 'accepted' END AS reason FROM events) GROUP BY reason""")
+def envelope_verification(p: Projection) -> DataFrame:
+    """Events as signed envelopes, some spoilt in one way or another, and what verification says of them."""
+    key = b"a key for these rows only"
+    spoilt = lambda k: F.col("event_id") % k == 0
+    body = F.concat(F.lit('{"payload":{"id":'), F.col("event_id").cast("string"), F.when(spoilt(13), F.lit('},"odd":1,"run_id":"r","stage":"scan"}')).otherwise(F.lit('},"run_id":"r","stage":"scan"}')))
+    e = p.table("events").select("event_id", F.col("event_id").alias("env_idx"), F.lit(PAYLOAD_TYPE).alias("payload_type"), body.alias("payload"), F.lit(None).cast("string").alias("parse_error"))
+    e = e.withColumn("sig", F.when(spoilt(11), "").otherwise(sign(key, F.col("payload_type"), F.col("payload"))))
+    e = e.withColumns({"payload": F.when(spoilt(7), F.replace("payload", F.lit('"r"'), F.lit('"s"'))).otherwise(F.col("payload")), "keyid": F.when(spoilt(5), "other").otherwise("own")})
+    return verify(e, {"own": key}).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT c_custkey AS id, 'note:sha256:' || left(sha256('"' || c_name || '\u00e9\ud83d\ude00\"\\"'), 32) AS note, 'dependency:sha256:' || left(sha256('"pkg:npm/@scope/' || lower(c_name) || '@1"'), 32) AS dependency
+FROM (SELECT c_custkey, replace(c_name, '#', '-') AS c_name FROM customer)""")
+def identity_digests(p: Projection) -> DataFrame:
+    """Digests of names with characters that canonical JSON escapes, and of purls with a scope."""
+    name = F.replace("c_name", F.lit("#"), F.lit("-"))
+    note = digest("note", json_string(F.concat(name, F.lit('\u00e9\U0001f600"\\'))))
+    scoped = dependency_id(F.concat(F.lit("pkg:NPM/%40scope/"), name, F.lit("@1?arch=x")))
+    return p.table("customer").select(F.col("c_custkey").alias("id"), note.alias("note"), scoped.alias("dependency"))
+
+
 # history ----------------------------------------------------------------------
 
 
