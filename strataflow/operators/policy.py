@@ -81,6 +81,11 @@ def decide(rows: DataFrame) -> DataFrame:
     return rows.agg(verdict_of_rank(F.coalesce(F.max(verdict_rank(F.col("verdict"))), F.lit(0))).alias("verdict"), ordered.alias("reasons"))
 
 
+def tally(rows: DataFrame) -> DataFrame:
+    """verdict, n_reasons, n_block: the decision of ``decide`` without its list, so nothing is collected."""
+    return rows.agg(verdict_of_rank(F.coalesce(F.max(verdict_rank(F.col("verdict"))), F.lit(0))).alias("verdict"), F.count("*").alias("n_reasons"), F.count_if(F.col("verdict") == "block").alias("n_block"))
+
+
 #: The same rules in SQL, over views findings, unmatched, rejected and missing; for parity tests.
 SQL_RULES = """
 SELECT 'provenance_integrity' AS rule, 'block' AS verdict, CAST(NULL AS STRING) AS finding FROM rejected

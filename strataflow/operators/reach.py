@@ -51,6 +51,9 @@ KNOWN_IMPORTS = {
 }
 _PREFIXES = ("python-", "py-", "django-", "flask-", "pyramid-")
 _DOTTED = re.compile(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)+", re.A)
+_WORD = re.compile(r"[A-Za-z_]\w{2,}", re.A)
+#: Functions whose first argument names a module.
+LOADERS = ("import_module", "__import__", "include")
 
 
 def import_names(dist):
@@ -67,35 +70,60 @@ def import_names(dist):
     return F.coalesce(F.try_element_at(known, dist), F.array_compact(F.array(under(dist), *cut, binary, *spaces)))
 
 
-def imported_modules(text: str | None, strings: bool = True) -> list[str]:
-    """Dotted names that a Python text imports, also by constant strings and dynamic calls; none of a broken text."""
+def _plain(node):
+    return [("module", a.name) for a in node.names]
+
+
+def _from(node):
+    names = ["", *(f".{a.name}" for a in node.names if a.name != "*")]
+    return [] if node.level else [("module", node.module + n) for n in names]
+
+
+def _text(node):
+    kinds = (("module", _DOTTED, str), ("word", _WORD, str.lower))
+    return [(kind, form(node.value)) for kind, shape, form in kinds if isinstance(node.value, str) and shape.fullmatch(node.value)]
+
+
+def _loader(node):
+    called = getattr(node.func, "id", None) or getattr(node.func, "attr", None)
+    target = node.args[0].value if node.args and isinstance(node.args[0], ast.Constant) else None
+    return [("module", target)] if called in LOADERS and isinstance(target, str) else []
+
+
+_READERS = {ast.Import: _plain, ast.ImportFrom: _from, ast.Constant: _text, ast.Call: _loader}
+
+
+def mentions_of(text: str | None) -> list[tuple[str, str]]:
+    """(module, dotted name) with all prefixes and (word, lower-case string) of a Python text; none of a broken text."""
     try:
-        tree = ast.parse(text or "")
+        nodes = ast.walk(ast.parse(text or ""))
     except (SyntaxError, ValueError, RecursionError):
         return []
-    found = set()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            found |= {a.name for a in node.names}
-        elif isinstance(node, ast.ImportFrom) and node.module and not node.level:
-            found |= {node.module} | {f"{node.module}.{a.name}" for a in node.names if a.name != "*"}
-        elif isinstance(node, ast.Call) and node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str):
-            if getattr(node.func, "attr", getattr(node.func, "id", "")) in ("import_module", "__import__", "import_string"):
-                found.add(node.args[0].value)
-        elif strings and isinstance(node, ast.Constant) and isinstance(node.value, str) and _DOTTED.fullmatch(node.value):
-            found.add(node.value)
-    return sorted({".".join(x.split(".")[: i + 1]) for x in found for i in range(x.count(".") + 1)})
-
-
-def _imports(batches):
+    found = {m for n in nodes if type(n) in _READERS for m in _READERS[type(n)](n)}
+    prefixes = {("module", x[: dot.start()]) for kind, x in found if kind == "module" for dot in re.finditer(r"\.", x)}
+    return sorted(found | prefixes)
+
+
+def _mentions(batches):
     for batch in batches:
-        rows = [(p, m) for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()) for m in imported_modules(t)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (list(zip(*rows)) if rows else [[]] * 2)], ["path", "module"])
+        rows = [(p, *m) for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()) for m in mentions_of(t)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (list(zip(*rows)) if rows else [[]] * 3)], ["path", "kind", "name"])
+
+
+def mentions(files: DataFrame) -> DataFrame:
+    """path, kind (module or word), name of Python files (path, text); null and broken texts have none."""
+    return files.select(F.col("path").cast("string").alias("path"), "text").mapInArrow(_mentions, "path string, kind string, name string")
 
 
 def app_imports(files: DataFrame) -> DataFrame:
     """path, module of Python files (path, text), with all dotted prefixes."""
-    return files.select("path", "text").mapInArrow(_imports, "path string, module string")
+    return mentions(files).filter("kind = 'module'").select("path", F.col("name").alias("module"))
+
+
+def referenced(found: DataFrame, names: DataFrame) -> DataFrame:
+    """dist of names (dist, import_name) whose undotted import name is a word of the mentions, in any case: the weakest tier."""
+    words = found.filter("kind = 'word'").select(F.col("name").alias("word")).distinct()
+    return names.filter(~F.contains("import_name", F.lit("."))).select("dist", F.lower("import_name").alias("word")).join(words, "word", "left_semi").select("dist").distinct()
 
 
 def entrypoint_hits(files: DataFrame, names: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.functions.ed25519 import PrivateKey
 from strataflow.functions.identity import canonical_purl, dependency_id, digest, json_string, normalize_name, purl
 from strataflow.functions.names import AFFIXES, deglyph, squash, squat_normalize
-from strataflow.functions.severity import actionable, cvss3_base, severity_rank, verdict_of_rank, verdict_rank
-from strataflow.functions.signing import PAYLOAD_TYPE, sign
+from strataflow.functions.severity import actionable, cvss3_base, severity_rank
+from strataflow.functions.signing import PAYLOAD_TYPE, ed25519_sign, sign
 from strataflow.functions.versions import semver_key
-from strataflow.operators import enrich, evaluation, history, traverse, typosquat
+from strataflow.operators import enrich, evaluation, history, policy, reach, traverse, typosquat
+from strataflow.operators.graph import REQUIRED, Collected
 from strataflow.plans.projection import Projection, sql
 from strataflow.sources import lockfiles
 from strataflow.sources.envelopes import verify
@@ -415,10 +417,11 @@ FROM d_finding LEFT JOIN loaded USING (dep_id) WHERE tool <> 'other' AND severit
 
 
 def _reasons(p: Projection) -> DataFrame:
-    rows = _reachability(p).filter(F.col("tool").isin("trivy", "grype", "osv"))
-    rank = severity_rank(F.col("severity"))
-    verdict = F.when(rank >= 2, F.when(F.col("reachable").eqNullSafe(F.lit(False)), "warn").otherwise("block")).when(rank == 1, "warn")
-    return rows.select(F.lit("vulnerable_dependency").alias("rule"), "id", verdict.alias("verdict")).filter("verdict IS NOT NULL")
+    none = F.lit(None).cast("string")
+    found = _reachability(p).select("id", F.col("tool").alias("source"), "severity", "reachable", none.alias("title"), F.col("event_id").cast("long").alias("seq"))
+    # the rule reads nothing but findings
+    run = Collected(nodes=found, edges=found, findings=found, unmatched=found, rejected=found, stages_seen=found, runtime=found)
+    return policy.reasons(run, [policy.vulnerable_dependency]).select("rule", F.col("finding").alias("id"), "verdict")
 
 
 @query(sql("SELECT rule, id, verdict FROM reasons", "d_finding", "d_reach", "d_runtime", extra=_REACHABLE + ", " + _REASONS))
@@ -428,8 +431,56 @@ def policy_reasons(p: Projection) -> DataFrame:
 
 @query(sql("SELECT coalesce(CASE max(CASE verdict WHEN 'block' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'block' WHEN 1 THEN 'warn' ELSE 'pass' END, 'pass') AS verdict, count(*) AS n_reasons, count(*) FILTER (verdict = 'block') AS n_block FROM reasons", "d_finding", "d_reach", "d_runtime", extra=_REACHABLE + ", " + _REASONS))
 def gate_decision(p: Projection) -> DataFrame:
-    r = _reasons(p)
-    return r.agg(verdict_of_rank(F.coalesce(F.max(verdict_rank(F.col("verdict"))), F.lit(0))).alias("verdict"), F.count("*").alias("n_reasons"), F.count_if(F.col("verdict") == "block").alias("n_block"))
+    return policy.tally(_reasons(p))
+
+
+_LEVELS = "['low', 'medium', 'high', 'critical'][(event_id // 5 % 4 + 1)::INT]"
+
+
+@query(f"""WITH f AS (SELECT event_id, ['trivy', 'grype', 'osv', 'sast', 'risk'][(event_id % 5 + 1)::INT] AS source, {_LEVELS} AS severity, [NULL, true, false][(event_id // 20 % 3 + 1)::INT] AS reachable FROM events WHERE event_type = 'error'),
+u AS (SELECT event_id // 4 AS id, arg_min({_LEVELS}, event_id) AS severity FROM events WHERE event_type = 'click' AND event_id % 3 <> 0 GROUP BY 1),
+r AS (SELECT 'provenance_integrity' AS rule, NULL::VARCHAR AS id, 'block' AS verdict FROM events WHERE event_type = 'purchase'
+UNION ALL SELECT 'provenance_integrity', NULL, 'block' UNION ALL SELECT 'malicious_dependency', event_id::VARCHAR, CASE severity WHEN 'critical' THEN 'block' ELSE 'warn' END FROM f WHERE source = 'risk'
+UNION ALL SELECT 'vulnerable_dependency', event_id::VARCHAR, CASE WHEN severity = 'low' THEN NULL WHEN severity = 'medium' OR reachable IS NOT DISTINCT FROM false THEN 'warn' ELSE 'block' END FROM f WHERE source NOT IN ('sast', 'risk')
+UNION ALL SELECT 'unattributed_finding', id::VARCHAR, CASE WHEN severity IN ('high', 'critical') THEN 'block' ELSE 'warn' END FROM u
+UNION ALL SELECT 'sast', event_id::VARCHAR, CASE severity WHEN 'low' THEN NULL WHEN 'medium' THEN 'warn' ELSE 'block' END FROM f WHERE source = 'sast')
+SELECT rule, id, verdict FROM r WHERE verdict IS NOT NULL""")
+def policy_all_rules(p: Projection) -> DataFrame:
+    """All five rules over a run of events: errors are findings, clicks unmatched ones, purchases refused envelopes, and the scan is missing."""
+    e, n = p.table("events"), F.col("event_id")
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    level = pick(("low", "medium", "high", "critical"), F.floor(n / 5) % 4)
+    seq, title = n.cast("long").alias("seq"), F.lit("title").alias("title")
+    found = e.filter("event_type = 'error'").select(n.cast("string").alias("id"), pick(("trivy", "grype", "osv", "sast", "risk"), n % 5).alias("source"), level.alias("severity"), pick((None, True, False), F.floor(n / 20) % 3).alias("reachable"), title, seq)
+    unmatched = e.filter("event_type = 'click'").select(F.floor(n / 4).cast("string").alias("id"), F.when(n % 3 != 0, "trivy").otherwise("sast").alias("source"), level.alias("severity"), title, seq)
+    refused = e.filter("event_type = 'purchase'").select(n.alias("env_idx"), F.lit("refused").alias("reject_reason"))
+    seen = p.spark.createDataFrame([(s,) for s in REQUIRED if s != "scan"], "stage string")
+    run = Collected(nodes=found, edges=found, findings=found, unmatched=unmatched, rejected=refused, stages_seen=seen, runtime=found)
+    return policy.reasons(run).select("rule", F.col("finding").alias("id"), "verdict")
+
+
+_MODULE = "replace(name, '-', '_')"
+
+
+@query(sql(f"""SELECT dep_key, kind, name FROM (SELECT dep_key, unnest(CASE dep_key % 6 WHEN 0 THEN [['module', {_MODULE}]] WHEN 1 THEN [['module', {_MODULE}], ['module', {_MODULE} || '.sub'], ['module', {_MODULE} || '.sub.x']]
+WHEN 2 THEN [['module', {_MODULE}], ['word', {_MODULE}]] WHEN 3 THEN [['module', {_MODULE}], ['module', {_MODULE} || '.urls']] WHEN 4 THEN [['word', {_MODULE}]] ELSE [] END) AS found FROM d_dep), LATERAL (SELECT found[1] AS kind, found[2] AS name)""", "d_dep"))
+def source_mentions(p: Projection) -> DataFrame:
+    """Each part as a module that a source file imports, loads or names in one way or another; one way is a broken file."""
+    files = ("import {m} as y", "from {m}.sub import x", "import_module('{m}')", "path('', include('{m}.urls'))", "schemes = ['{M}']", "def broken(:\n    import {m}")
+    module = F.replace("name", F.lit("-"), F.lit("_"))
+    text = F.element_at(F.array(*map(F.lit, files)), (F.col("dep_key") % len(files) + 1).cast("int"))
+    text = F.replace(F.replace(text, F.lit("{m}"), module), F.lit("{M}"), F.upper(module))
+    return reach.mentions(p.deps().select(F.col("dep_key").alias("path"), text.alias("text"))).select(F.col("path").cast("long").alias("dep_key"), "kind", "name")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'signature mismatch' WHEN c_custkey % 5 = 0 THEN 'untrusted keyid other' END AS reason FROM customer""")
+def ed25519_verification(p: Projection) -> DataFrame:
+    """Customers as envelopes with Ed25519 or, for every third, HMAC signatures; some payloads are changed after signing."""
+    key, shared, n = PrivateKey(bytes(range(32))), b"shared by both sides", F.col("c_custkey")
+    e = p.table("customer").select(n.alias("env_idx"), n.alias("c_custkey"), F.lit(PAYLOAD_TYPE).alias("payload_type"), F.concat(F.lit('{"payload":{"id":'), n.cast("string"), F.lit('},"run_id":"r","stage":"scan"}')).alias("payload"), F.lit(None).cast("string").alias("parse_error"))
+    e = e.withColumn("sig", F.when(n % 3 == 0, sign(shared, F.col("payload_type"), F.col("payload"))).otherwise(ed25519_sign(key, F.col("payload_type"), F.col("payload"))))
+    e = e.withColumns({"payload": F.when(n % 7 == 0, F.replace("payload", F.lit('"r"'), F.lit('"s"'))).otherwise(F.col("payload")), "keyid": F.when((n % 5 == 0) & (n % 7 != 0), "other").when(n % 3 == 0, "shared").otherwise("own")})
+    return verify(e, {"own": key.public(), "shared": shared}).select(F.col("env_idx").alias("id"), F.col("reject_reason").alias("reason"))
 
 
 @query(sql("""SELECT d.dep_id, CASE WHEN length(name) >= 12 THEN 'critical' ELSE 'high' END AS severity FROM (SELECT DISTINCT dep_id, name FROM d_dep) d WHERE length(name) >= 10""", "d_dep"))

@@ -8,7 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.functions.signing import PAYLOAD_TYPE, hmac_sha256, pads, pae, sign
+from strataflow.functions.ed25519 import PrivateKey, PublicKey
+from strataflow.functions.signing import PAYLOAD_TYPE, ed25519_sign, ed25519_valid, hmac_sha256, pads, pae, sign
 
 _FIELDS = ("payload_type", "payload", "keyid", "sig")
 
@@ -49,26 +50,31 @@ def load_envelopes(spark: SparkSession, path: str, lenient: bool = False) -> Dat
     return out
 
 
-def verify(envelopes: DataFrame, trusted: dict[str, bytes]) -> DataFrame:
+def verify(envelopes: DataFrame, trusted: dict[str, bytes | PublicKey]) -> DataFrame:
     """Adds stage, run_id, payload of the event, and reject_reason (NULL if accepted).
 
-    Checks go in a fixed order, and the first that fails gives the reason.
+    Bytes are HMAC keys.  Python workers run only if an Ed25519 key is trusted.  Checks go in a fixed order, and the first that fails gives the reason.
     """
     if not trusted:
         raise NoTrustRoot("no trusted key")
     spark = envelopes.sparkSession
-    keys = spark.createDataFrame([(k, *map(bytearray, pads(v))) for k, v in trusted.items()], "keyid string, _inner binary, _outer binary")
+    public = {k: bytearray(v.raw) for k, v in trusted.items() if isinstance(v, PublicKey)}
+    shared = {k: tuple(map(bytearray, pads(v))) for k, v in trusted.items() if k not in public}
+    keys = spark.createDataFrame([(k, *shared.get(k, (None, None)), public.get(k)) for k in trusted], "keyid string, _inner binary, _outer binary, _public binary")
     rows = envelopes.join(F.broadcast(keys), "keyid", "left")  # as many rows as there are keys in the configuration
-    want = hmac_sha256(F.col("_inner"), F.col("_outer"), pae(F.col("payload_type"), F.col("payload")))
+    message = pae(F.col("payload_type"), F.col("payload"))
+    differs = hmac_sha256(F.col("_inner"), F.col("_outer"), message) != F.col("sig")
+    if public:
+        differs = F.coalesce(~ed25519_valid("_public", message, "sig"), differs)
     shape = F.schema_of_variant(F.try_parse_json("payload"))
     e = F.from_json("payload", "stage string, run_id string, payload string")
     keys_of = F.array_sort(F.json_object_keys("payload"))
     reason = (
         F.when(F.col("parse_error").isNotNull(), F.concat(F.lit("malformed envelope: "), "parse_error"))
         .when(F.col("payload_type") != PAYLOAD_TYPE, F.concat(F.lit("unexpected payload type "), "payload_type"))
-        .when(F.col("_inner").isNull(), F.concat(F.lit("untrusted keyid "), "keyid"))
+        .when(F.col("_inner").isNull() & F.col("_public").isNull(), F.concat(F.lit("untrusted keyid "), "keyid"))
         .when(F.col("sig") == "", "missing signature")
-        .when(want != F.col("sig"), "signature mismatch")
+        .when(differs, "signature mismatch")
         .when(shape.isNull() | ~shape.startswith("OBJECT"), "malformed payload")
         .when(~F.coalesce(keys_of == F.array(F.lit("payload"), F.lit("run_id"), F.lit("stage")), F.lit(False)), "malformed payload: unexpected fields")
     )
@@ -79,11 +85,12 @@ def canonical_event(stage: str, run_id: str, payload: dict) -> str:
     return json.dumps({"stage": stage, "run_id": run_id, "payload": payload}, sort_keys=True, separators=(",", ":"))
 
 
-def signed_events(spark: SparkSession, events: list[tuple[str, str, dict]], keyid: str, key: bytes) -> DataFrame:
-    """Envelopes of (stage, run_id, payload) events, signed by expressions."""
+def signed_events(spark: SparkSession, events: list[tuple[str, str, dict]], keyid: str, key: bytes | PrivateKey) -> DataFrame:
+    """Envelopes of (stage, run_id, payload) events, signed by expressions (HMAC) or in Arrow batches (Ed25519)."""
     rows = [(i, canonical_event(*e)) for i, e in enumerate(events)]
     df = spark.createDataFrame(rows, "env_idx long, payload string")
-    return df.select("env_idx", F.lit(PAYLOAD_TYPE).alias("payload_type"), "payload", F.lit(keyid).alias("keyid"), sign(key, F.lit(PAYLOAD_TYPE), F.col("payload")).alias("sig"), F.lit(None).cast("string").alias("parse_error"))
+    sig = ed25519_sign if isinstance(key, PrivateKey) else sign
+    return df.select("env_idx", F.lit(PAYLOAD_TYPE).alias("payload_type"), "payload", F.lit(keyid).alias("keyid"), sig(key, F.lit(PAYLOAD_TYPE), F.col("payload")).alias("sig"), F.lit(None).cast("string").alias("parse_error"))
 
 
 def concat_envelopes(*frames: DataFrame) -> DataFrame:
@@ -118,9 +125,10 @@ def write_envelopes(envelopes: DataFrame, path: str) -> None:
     rows.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("env_idx", "j"))), lambda x: x["j"]), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def trust_from_environment(names: dict[str, str]) -> dict[str, bytes]:
-    """Keys from environment variables {keyid: variable}; fails if none is set."""
-    found = {k: os.environ[v].encode() for k, v in names.items() if os.environ.get(v)}
+def trust_from_environment(names: dict[str, str]) -> dict[str, bytes | PublicKey]:
+    """Keys from environment variables {keyid: variable}, PEM ones as Ed25519; fails if none is set."""
+    key = lambda text: PublicKey.from_pem(text) if text.startswith(b"-----BEGIN") else text
+    found = {k: key(os.environ[v].encode()) for k, v in names.items() if os.environ.get(v)}
     if not found:
         raise NoTrustRoot(f"none of {', '.join(names.values())} is set")
     return found

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataflow.functions import identity, names, severity, signing, versions
+from strataflow.functions.ed25519 import ORDER, PrivateKey, PublicKey
+from strataflow.operators import reach
 
 
 def column(spark, rows, schema, expr):
@@ -81,3 +83,43 @@ def test_hmac(spark):
         message = f"DSSEv1 {len(signing.PAYLOAD_TYPE)} {signing.PAYLOAD_TYPE} {len(payload)} {payload}"
         want = hmac.new(key, message.encode(), hashlib.sha256).hexdigest()
         assert column(spark, [(payload,)], "p string", signing.sign(key, F.lit(signing.PAYLOAD_TYPE), F.col("p"))) == [want]
+
+
+#: Seeds, public keys, messages and signatures of RFC 8032, section 7.1.
+VECTORS = (
+    ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+    ("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb", "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+)
+
+
+@pytest.mark.parametrize(("seed", "public", "message", "sig"), VECTORS)
+def test_ed25519_vectors(seed, public, message, sig):
+    key, message, sig = PrivateKey(bytes.fromhex(seed)), bytes.fromhex(message), bytes.fromhex(sig)
+    assert key.public().raw.hex() == public and key.sign(message) == sig
+    assert key.public().verify(message, sig)
+    late = sig[:32] + (int.from_bytes(sig[32:], "little") + ORDER).to_bytes(32, "little")
+    for bad in (sig[:-1], b"", sig[::-1], bytes(64), late):
+        assert not key.public().verify(message, bad)
+    assert not key.public().verify(message + b"x", sig)
+    assert not PublicKey(b"\xff" * 32).verify(message, sig) and not PublicKey(b"").verify(message, sig)
+
+
+def test_ed25519_pem():
+    key = PrivateKey.generate()
+    assert PrivateKey.from_pem(key.pem()) == key and PublicKey.from_pem(key.public().pem()) == key.public()
+    for wrong in (b"", b"-----BEGIN PUBLIC KEY-----\nAAAA\n-----END PUBLIC KEY-----", key.pem()):
+        with pytest.raises(ValueError):
+            PublicKey.from_pem(wrong)
+
+
+def test_python_mentions():
+    text = 'import a.b as c\nfrom d import e, f\nfrom g import *\nfrom . import no\nx = ["Bcrypt", "h.i", "no way", "ab", b"xyz"]\nm.include("my-urls")\n__import__(name)\nimport_module()\n'
+    names = {k: {n for kind, n in reach.mentions_of(text) if kind == k} for k in ("module", "word")}
+    assert names == {"module": {"a", "a.b", "d", "d.e", "d.f", "g", "h", "h.i", "my-urls"}, "word": {"bcrypt"}}
+    assert reach.mentions_of(None) == reach.mentions_of("") == reach.mentions_of("def x(") == reach.mentions_of("a\0b") == []
+
+
+def test_referenced_by_word(spark):
+    files = spark.createDataFrame([("a.py", 'S = "Bcrypt"'), ("b.py", None)], "path string, text string")
+    names = spark.createDataFrame([("bcrypt", "bcrypt"), ("attrs", "attr"), ("g", "google.bcrypt")], "dist string, import_name string")
+    assert [r.dist for r in reach.referenced(reach.mentions(files), names).collect()] == ["bcrypt"]
