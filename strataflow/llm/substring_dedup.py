@@ -8,7 +8,8 @@ for their edges, whatever surrounds them.  From every piece a span runs over at
 least ``SENTENCES`` of them and ``WORDS`` words; with 3, 20 and a window of 8, any
 equal 51 words have a span in common.  All spans are hashed and joined globally;
 the first document of a span keeps it, and pieces that any other occurrence
-covers are removed.
+covers are removed.  Chunks of documents find their own copies before spans are
+sent, so of a span that many documents have one row a chunk meets the others.
 
 The first document is the one with the smallest doc_id, in it the first place.
 Rows that repeat a doc_id count as one document; rows without one stay as they
@@ -22,6 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from strataflow.llm.common import ByteWords, array_slices, powers, table, tidied
 SENTENCES = 3
 WORDS = 20
 WINDOW = 8
+#: Spans among which a task looks for copies before they are sent.
+CHUNK = 250_000
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -96,26 +100,41 @@ class Sentences:
         return b"".join(self.words.data[at[x] : at[y]].tobytes() for x, y in zip(a, b)).decode("utf-8", "replace")
 
 
+def _told(h1: np.ndarray, h2: np.ndarray, row: np.ndarray, ids, rank: np.ndarray) -> pa.RecordBatch:
+    """The spans of a chunk; ``later`` is the row of those that a smaller doc_id of the chunk has too."""
+    order = np.lexsort((rank[row], h2, h1))
+    h1, h2, row = h1[order], h2[order], row[order]
+    start = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])][: len(row)]
+    later = rank[row] > rank[row[start]][np.cumsum(start) - 1]
+    keep = start | later
+    row, later = row[keep], later[keep]
+    return pa.RecordBatch.from_arrays([pa.array(h1[keep]), pa.array(h2[keep]), ids.take(pa.array(row)), pa.array(row, mask=~later)], ["h1", "h2", "doc_id", "later"])
+
+
 @tidied
 def _span_rows(batches, sentences: int, words: int):
     for batch in batches:
         ids = batch.column("doc_id")
+        rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+        held, size = [], 0
         for at, texts in array_slices(batch):
             made = Sentences(texts, sentences, words)
-            h1, h2, row = [], [], []
             for i in range(len(texts)):
                 *_, one, two = made.of(i)
                 one, where = np.unique(one, return_index=True)
-                h1.append(one)
-                h2.append(two[where])
-                row.append(np.full(len(one), at + i))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2)), ids.take(pa.array(np.concatenate(row)))], ["h1", "h2", "doc_id"])
+                held.append((one, two[where], np.full(len(one), at + i)))
+                size += len(one)
+            if size >= CHUNK:
+                yield _told(*map(np.concatenate, zip(*held)), ids, rank)
+                held, size = [], 0
+        if size:
+            yield _told(*map(np.concatenate, zip(*held)), ids, rank)
 
 
 def span_rows(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """h1, h2, doc_id: each span of a document once."""
+    """h1, h2, doc_id, later: each span of a document once; ``later`` is a number where the document is known not to be its first."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(partial(_span_rows, sentences=sentences, words=words), f"h1 long, h2 long, doc_id {kind}")
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(partial(_span_rows, sentences=sentences, words=words), f"h1 long, h2 long, doc_id {kind}, later long")
 
 
 @tidied
@@ -151,9 +170,10 @@ def _cleaned(batches, sentences: int, words: int):
 
 def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, names: tuple[str, str, str] = ("n_sentences", "n_removed", "words_removed")) -> DataFrame:
     """The documents with repeated sentences removed from ``text``, and the numbers of sentences, removed sentences and removed words, called ``names``."""
-    # one shuffle of the spans tells each its first document; nulls have gone
-    first = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
-    later = span_rows(docs, sentences, words).withColumn("_first", first).filter(F.col("doc_id") != F.col("_first"))
+    # one shuffle of the spans tells each its first document; nulls have gone.  Only the smallest doc_id of each
+    # chunk meets those of other chunks, the rest is dealt by its number too: no key gathers the rows of a frequent span
+    first = F.min("doc_id").over(Window.partitionBy("h1", "h2", "later"))
+    later = span_rows(docs, sentences, words).withColumn("_first", first).filter(F.col("later").isNotNull() | (F.col("doc_id") != F.col("_first")))
     by_doc = later.groupBy("doc_id").agg(F.collect_set("h1").alias("_repeated"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text", *names)]
     kept = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)])

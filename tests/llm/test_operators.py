@@ -224,6 +224,29 @@ def test_spans_against_brute_force(spark, docs):
             assert len(got[i].text.encode().split()) == len(texts[i].encode().split()) - got[i].words_removed
 
 
+def test_a_frequent_span_sends_one_candidate_a_chunk(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 1)
+    passage = " ".join(f"w{k}" for k in range(60)) + "."
+    ids = [7, 3, 9, 3, 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([passage] * 5)], ["doc_id", "text"])
+    for rows in substring_dedup._span_rows([batch], sentences=3, words=20):
+        told = {}
+        for h, d, later in zip(*(rows.column(c).to_pylist() for c in ("h1", "doc_id", "later"))):
+            told.setdefault(h, []).append((d, later is not None))
+        assert told
+        assert all(sorted(v) == [(3, False), (5, True), (7, True), (9, True)] for v in told.values())
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(10,0)", "double", "date"])
+def test_first_document_of_a_span_by_ids_of_any_type(spark, kind):
+    passage = " ".join(f"w{k}" for k in range(60)) + "."
+    of = "date_add(DATE'2024-01-01', CAST(id AS INT))" if kind == "date" else f"CAST(id AS {kind})"
+    d = spark.range(5, 400, numPartitions=3).selectExpr(f"{of} AS doc_id", "id").withColumn("text", F.lit(passage)).drop("id")
+    least = d.agg(F.min("doc_id")).first()[0]
+    got = substring_dedup.remove_repeated_spans(d).filter("n_removed = 0").collect()
+    assert [r.doc_id for r in got] == [least]
+
+
 def test_spans_find_passages_in_the_middle_of_sentences(spark):
     random.seed(11)
     word = lambda: f"w{random.randint(0, 10**7)}"
