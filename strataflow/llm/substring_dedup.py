@@ -27,13 +27,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import ByteWords, array_slices, powers, table, tidied
+from strataflow.llm.common import ByteWords, array_slices, arrow_batches, forget, powers, stored, table, tidied
 
 SENTENCES = 3
 WORDS = 20
 WINDOW = 8
 #: Spans among which a task looks for copies before they are sent.
 CHUNK = 250_000
+#: Bytes of the batches between Spark and Python, and of text whose words are found at once.  Buffers for
+#: all the text of a task lie outside the executor's heap, and much of them stays there once they are free.
+BATCH_BYTES, SLICE_BYTES = 2_000_000, 500_000
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -113,22 +116,34 @@ def _told(h1: np.ndarray, h2: np.ndarray, row: np.ndarray, ids, rank: np.ndarray
 
 @tidied
 def _span_rows(batches, sentences: int, words: int):
+    held, ids, size, n = [], [], 0, 0
+
+    def told():
+        known = pa.concat_arrays(ids)
+        rank = pc.rank(known, tiebreaker="dense").to_numpy().astype(np.int64)
+        rows = _told(*map(np.concatenate, zip(*held)), known, rank)
+        for k in range(0, rows.num_rows, BATCH_BYTES // 32):
+            yield rows.slice(k, BATCH_BYTES // 32)
+
     for batch in batches:
-        ids = batch.column("doc_id")
-        rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
-        held, size = [], 0
-        for at, texts in array_slices(batch):
+        for at, texts in array_slices(batch, size=SLICE_BYTES):
             made = Sentences(texts, sentences, words)
+            found = []
             for i in range(len(texts)):
                 *_, one, two = made.of(i)
-                one, where = np.unique(one, return_index=True)
-                held.append((one, two[where], np.full(len(one), at + i)))
-                size += len(one)
+                if len(one):
+                    one, where = np.unique(one, return_index=True)
+                    held.append((one, two[where], np.full(len(one), n)))
+                    found.append(at + i)
+                    size += len(one)
+                    n += 1
+            if found:
+                ids.append(batch.column("doc_id").take(pa.array(found)))
             if size >= CHUNK:
-                yield _told(*map(np.concatenate, zip(*held)), ids, rank)
-                held, size = [], 0
-        if size:
-            yield _told(*map(np.concatenate, zip(*held)), ids, rank)
+                yield from told()
+                held, ids, size, n = [], [], 0, 0
+    if size:
+        yield from told()
 
 
 def span_rows(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -141,10 +156,10 @@ def span_rows(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -
 def _cleaned(batches, sentences: int, words: int):
     for batch in batches:
         rest = [n for n in batch.schema.names if n not in ("text", "_repeated", "_known")]
-        lists, known, texts = batch.column("_repeated"), batch.column("_known").to_pylist(), batch.column("text")
-        changed, n_sentences, n_removed, words_removed = {}, [], [], []
-        for at, part in array_slices(batch):
+        lists, known = batch.column("_repeated"), batch.column("_known").to_pylist()
+        for at, part in array_slices(batch, size=SLICE_BYTES):
             made = Sentences(part, sentences, words)
+            changed, n_sentences, n_removed, words_removed = {}, [], [], []
             for i in range(len(part)):
                 limits, first, last, one, _ = made.of(i)
                 gone = np.zeros(len(limits) - 1, bool)
@@ -158,14 +173,16 @@ def _cleaned(batches, sentences: int, words: int):
                         np.add.at(marks, first[again], 1)
                         np.add.at(marks, last[again], -1)
                         gone = np.cumsum(marks)[:-1] > 0
-                        changed[at + i] = made.kept(i, limits, gone)
+                        changed[i] = made.kept(i, limits, gone)
                 n_sentences.append(len(gone))
                 n_removed.append(int(gone.sum()))
                 words_removed.append(int(np.diff(limits)[gone].sum()))
-        if changed:
-            texts = pa.array([changed.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string())
-        columns = [batch.column(n) for n in rest]
-        yield pa.RecordBatch.from_arrays([*columns, texts, *(pa.array(x, pa.int64()) for x in (n_sentences, n_removed, words_removed))], [*rest, "text", "n_sentences", "n_removed", "words_removed"])
+            rows = batch.slice(at, len(part))
+            texts = rows.column("text")
+            if changed:
+                texts = pa.array([changed.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string())
+            columns = [rows.column(n) for n in rest]
+            yield pa.RecordBatch.from_arrays([*columns, texts, *(pa.array(x, pa.int64()) for x in (n_sentences, n_removed, words_removed))], [*rest, "text", "n_sentences", "n_removed", "words_removed"])
 
 
 def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, names: tuple[str, str, str] = ("n_sentences", "n_removed", "words_removed")) -> DataFrame:
@@ -175,13 +192,20 @@ def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: in
     first = F.min("doc_id").over(Window.partitionBy("h1", "h2", "later"))
     later = span_rows(docs, sentences, words).withColumn("_first", first).filter(F.col("later").isNotNull() | (F.col("doc_id") != F.col("_first")))
     by_doc = later.groupBy("doc_id").agg(F.collect_set("h1").alias("_repeated"))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", *names)]
+    # both results are stored, as the bound of the batches holds only for what runs here
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        by_doc = stored(by_doc, "repeated-spans")
+    void = [c for c in docs.columns if docs.schema[c].dataType.typeName() == "void"]
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", *names, *void)]
     kept = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)])
     out = kept.join(by_doc, "doc_id", "left").withColumn("_known", F.col("doc_id").isNotNull())
     out = out.select("doc_id", *[f"_{i}" for i in range(len(rest))], "text", "_repeated", "_known")
     kinds = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
     cleaned = out.mapInArrow(partial(_cleaned, sentences=sentences, words=words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}{kinds}, text string, n_sentences long, n_removed long, words_removed long")
-    back = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"_{i}").alias(c) for i, c in enumerate(rest)}
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        cleaned = stored(cleaned, "cleaned-texts")
+    forget(by_doc)
+    back = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.lit(None).alias(c) for c in void if c not in names} | {c: F.col(f"_{i}").alias(c) for i, c in enumerate(rest)}
     return cleaned.select(*[back[c] for c in docs.columns if c in back], *[F.col(a).alias(b) for a, b in zip(("n_sentences", "n_removed", "words_removed"), names)])
 
 

@@ -237,6 +237,42 @@ def test_a_frequent_span_sends_one_candidate_a_chunk(monkeypatch):
         assert all(sorted(v) == [(3, False), (5, True), (7, True), (9, True)] for v in told.values())
 
 
+def test_spans_of_several_batches_are_one_chunk():
+    passage = " ".join(f"w{k}" for k in range(60)) + "."
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], ["doc_id", "text"]) for ids, texts in (([7, 2], [passage, "short"]), ([3], [passage]), ([9, 5], ["", passage]))]
+    told = {}
+    for rows in substring_dedup._span_rows(iter(batches), sentences=3, words=20):
+        for h, d, later in zip(*(rows.column(c).to_pylist() for c in ("h1", "doc_id", "later"))):
+            told.setdefault(h, []).append((d, later is not None))
+    assert told
+    assert all(sorted(v) == [(3, False), (5, True), (7, True)] for v in told.values())
+
+
+def test_no_batch_holds_all_text_of_a_task(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 320)
+    texts = [" ".join(f"w{j}x{k}" for k in range(60)) for j in range(20)]
+    ids = pa.array(range(20), pa.int64())
+    sent = list(substring_dedup._span_rows([pa.RecordBatch.from_arrays([ids, pa.array(texts)], ["doc_id", "text"])], sentences=3, words=20))
+    assert max(rows.num_rows for rows in sent) <= 10 < sum(rows.num_rows for rows in sent)
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts), pa.array([[]] * 20, pa.list_(pa.int64())), pa.array([True] * 20)], ["doc_id", "text", "_repeated", "_known"])
+    cleaned = list(substring_dedup._cleaned([batch], sentences=3, words=20))
+    assert max(sum(map(len, rows.column("text").to_pylist())) for rows in cleaned) <= 1000
+    assert [(d, t) for rows in cleaned for d, t in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist())] == list(enumerate(texts))
+
+
+def test_spans_and_texts_meet_python_in_bounded_batches(spark, monkeypatch):
+    name, held = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    stored = substring_dedup.stored
+    monkeypatch.setattr(substring_dedup, "stored", lambda *a: held.append(spark.conf.get(name)) or stored(*a))
+    before = spark.conf.get(name, None)
+    passage = " ".join(f"w{k}" for k in range(60)) + "."
+    d = spark.createDataFrame([(1, passage), (2, passage)], "doc_id long, text string").withColumn("nothing", F.lit(None))
+    got = substring_dedup.remove_repeated_spans(d)
+    assert got.columns[:3] == d.columns and got.filter("n_removed = 0 AND nothing IS NULL").count() == 1
+    assert held == [str(substring_dedup.BATCH_BYTES)] * 2 and spark.conf.get(name, None) == before
+
+
 @pytest.mark.parametrize("kind", ["int", "string", "decimal(10,0)", "double", "date"])
 def test_first_document_of_a_span_by_ids_of_any_type(spark, kind):
     passage = " ".join(f"w{k}" for k in range(60)) + "."
