@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIN = ("repo", "name", "version")
 
 
+def _each_once(pins: DataFrame, *more: str) -> DataFrame:
+    """Distinct (repo, name, version, pos) with before and after, the pin's next positions; found in the one sort that windows over them need anyway."""
+    w = Window.partitionBy(*PIN).orderBy("pos")
+    seen = pins.select(*PIN, "pos", *more).withColumn("before", F.lag("pos").over(w)).filter(~F.col("before").eqNullSafe(F.col("pos")))
+    return seen.withColumns({"before": F.lag("pos").over(w), "after": F.lead("pos").over(w)})
+
+
+def starts() -> Column:
+    return ~F.col("before").eqNullSafe(F.col("pos") - 1)
+
+
+def ends() -> Column:
+    return ~F.col("after").eqNullSafe(F.col("pos") + 1)
+
+
 def pin_changes(pins: DataFrame, commits: DataFrame) -> DataFrame:
     """(repo, pos, name, version, op): what each commit added to and removed from its predecessor's pins.
 
     One window over each pin's own positions; no snapshot is built.
     """
-    w = Window.partitionBy(*PIN).orderBy("pos")
-    seen = pins.select(*PIN, "pos").distinct().withColumns({"before": F.lag("pos").over(w), "after": F.lead("pos").over(w)})
+    seen = _each_once(pins)
     last = commits.groupBy("repo").agg(F.max("pos").alias("last"))
-    added = seen.filter(~F.col("before").eqNullSafe(F.col("pos") - 1)).select("repo", "pos", "name", "version", F.lit("added").alias("op"))
-    ended = seen.filter(~F.col("after").eqNullSafe(F.col("pos") + 1)).join(last, "repo").filter(F.col("pos") < F.col("last"))
+    added = seen.filter(starts()).select("repo", "pos", "name", "version", F.lit("added").alias("op"))
+    ended = seen.filter(ends()).join(last, "repo").filter(F.col("pos") < F.col("last"))
     return added.unionByName(ended.select("repo", (F.col("pos") + 1).alias("pos"), "name", "version", F.lit("removed").alias("op")))
 
 
@@ -30,9 +44,9 @@ def commit_sequence(changes: DataFrame, commits: DataFrame) -> DataFrame:
 
 def pin_runs(pins: DataFrame) -> DataFrame:
     """(repo, name, version, first_pos, last_pos): unbroken runs of a pin."""
-    w = Window.partitionBy(*PIN).orderBy("pos")
-    runs = pins.select(*PIN, "pos").distinct().withColumn("island", F.col("pos") - F.row_number().over(w))
-    return runs.groupBy(*PIN, "island").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")).drop("island")
+    w = Window.partitionBy(*PIN).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    runs = _each_once(pins).withColumn("first_pos", F.last(F.when(starts(), F.col("pos")), ignorenulls=True).over(w))
+    return runs.filter(ends()).select(*PIN, "first_pos", F.col("pos").alias("last_pos"))
 
 
 def re_bumps(changes: DataFrame) -> DataFrame:
@@ -41,11 +55,26 @@ def re_bumps(changes: DataFrame) -> DataFrame:
     return changes.filter("op = 'added'").withColumn("first_pos", F.first("pos").over(w)).filter("first_pos < pos").select(*PIN, "pos", "first_pos")
 
 
+def places(n: Column, k: int) -> Column:
+    """``k`` evenly spaced positions among ``n``, distinct."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (n - 1) / F.lit(max(1, k - 1))).cast("long")))
+
+
 def snapshots(commits: DataFrame, k: int) -> DataFrame:
     """(repo, pos): ``k`` evenly spaced positions of each repository, distinct."""
     n = commits.groupBy("repo").agg((F.max("pos") + 1).alias("n"))
-    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("n") - 1) / F.lit(max(1, k - 1))).cast("long"))
-    return n.select("repo", F.explode(F.array_distinct(places)).alias("pos"))
+    return n.select("repo", F.explode(places(F.col("n"), k)).alias("pos"))
+
+
+def introducers_held(pins: DataFrame, newest: bool = True) -> DataFrame:
+    """(repo, snapshot, name, version, commit): as ``introducers_asof``, of pins that know their ``commit`` and whether it is a snapshot (``taken``).
+
+    One window over each pin's own positions; changes are not joined to snapshots.
+    """
+    w = Window.partitionBy(*PIN).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    pick = F.last if newest else F.first
+    found = _each_once(pins.dropna(subset=list(PIN)), "commit", "taken").withColumn("commit", pick(F.when(starts(), F.col("commit")), ignorenulls=True).over(w))
+    return found.filter("taken").select("repo", F.col("pos").alias("snapshot"), "name", "version", "commit")
 
 
 def introducers_asof(changes: DataFrame, commits: DataFrame, pins: DataFrame, at: DataFrame, newest: bool = True) -> DataFrame:
